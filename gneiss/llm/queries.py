@@ -5,20 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, packing, secrets
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
+    "op8_secrets": op8_secrets,
+    "op10_mixing": op10_mixing,
+}
 
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op8_secrets": secrets.ORACLE, "op10_mixing": mixing.ORACLE}
