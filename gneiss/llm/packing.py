@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = cut(pieces(docs, tokenizer, id_col, text_col, capacity))
     groups = max(1, -(-rows.count() // group))
 
-    def place(key, table: pa.Table) -> pa.Table:
+    def place(key, table):
         # an order of its own, so that a task run again numbers sequences alike
         table = table.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = pack_lengths(table.column("length").to_numpy(), capacity)
