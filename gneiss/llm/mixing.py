@@ -37,8 +37,10 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     )
     ranked = ranked.withColumn("level", level.cast("double"))
-    ranked = ranked.withColumn("settled", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
-    target = F.least(F.col("limit").cast("double"), F.coalesce(F.col("settled"), F.col("level")) * F.col("weight"))
+    # the first source in that order that isn't full settles the level for all after it
+    open_ = F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "rank"))
+    ranked = ranked.withColumn("settled", F.min_by("level", open_).over(everything))
+    target = F.least(F.col("limit").cast("double"), F.col("settled") * F.col("weight"))
     return ranked.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
@@ -123,10 +125,10 @@ WITH sized AS (
 ), lim AS (
   SELECT *, rank % 3 + 1 AS weight, 3 * source_size AS lim, 3 * source_size / (rank % 3 + 1) AS full_at FROM src
 ), lev AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  SELECT *, row_number() OVER (ORDER BY full_at, rank) AS nth, (sum(source_size) OVER () - coalesce(sum(lim) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM lim WINDOW w AS (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), goal AS (
-  SELECT *, least(lim::DOUBLE, coalesce(min(level) FILTER (level <= full_at) OVER (), level) * weight) AS target FROM lev
+  SELECT *, least(lim::DOUBLE, arg_min(level, nth) FILTER (level <= full_at) OVER () * weight) AS target FROM lev
 ), placed AS (
   SELECT s.*, g.source_size, g.target, sum(s.size) OVER (PARTITION BY s.source ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING) - s.size AS start
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
