@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, quality, secrets, toxicity
+from . import langid, line_dedup, mixing, ngram_join, packing, permutation_index, quality, secrets, toxicity
 from .common import table
 
 
@@ -33,6 +33,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -51,6 +59,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_neighbours": op5_neighbours,
+    "op6_langid": op6_langid,
     "op8_secrets": op8_secrets,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
