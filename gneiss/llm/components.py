@@ -1,12 +1,46 @@
-"""Connected components by alternating large-star and small-star steps; links never leave the cluster."""
+"""Connected components. Links never leave the cluster.
+
+Up to WITHIN links, a checked count, one task solves all in bounded memory; beyond, alternating
+large-star and small-star steps do, each a few joins whatever the shape of the graph.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links that one task may hold: 16 bytes each, and as much again a few times over.
+WITHIN = 2_000_000
+
+
+def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it reaches)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(i):
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        np.minimum.at(label, high, low)
+        while (label != (further := label[label])).any():
+            label = further
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
+    return nodes, nodes[label]
+
+
+def _in_one(e: DataFrame) -> DataFrame:
+    def run(batches):
+        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if parts:
+            a, b = zip(*parts, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(np.concatenate(a), np.concatenate(b))], names=["node", "root"])
+
+    return e.coalesce(1).mapInArrow(run, "node long, root long")
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -20,10 +54,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return rest.union(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, within: int = WITHIN) -> DataFrame:
     """links (a, b) -> node, root: each node of a link with the smallest node it reaches (roots included)."""
-    e = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    e = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b"))
+    if e.count() <= within:
+        return _in_one(e)
     print_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    e = cut(e.distinct())
     now = print_of(e)
     while now[0]:
         e = cut(_small_star(_large_star(e)))
