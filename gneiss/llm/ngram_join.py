@@ -33,7 +33,7 @@ from .trie import join
 
 N, PERCENT = 5, 80
 #: N-grams that a bucket or a flush holds in memory.
-BUCKET = 4_000_000
+BUCKET = 2_000_000
 #: Documents and n-grams of a shard.
 SHARD_DOCS, SHARD_GRAMS = 1024, 2_000_000
 #: Minor documents probed against a shard in one task.
