@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, ngram_join, packing, permutation_index, quality, secrets, toxicity
+from . import audio, langid, line_dedup, mixing, ngram_join, packing, permutation_index, quality, secrets, toxicity
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no audio among the tables: the vectors are rendered as recordings first."""
+    return audio.align(audio.render(table(spark, sf_dir, "embeddings")), "id", "media")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_neighbours": op5_neighbours,
     "op6_langid": op6_langid,
+    "op7_audio": op7_audio,
     "op8_secrets": op8_secrets,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
