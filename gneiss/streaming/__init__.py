@@ -1,0 +1 @@
+"""Nothing here yet: profiles are of whole tables, and no operator works on streams."""
