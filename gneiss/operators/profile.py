@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import canonical as cn
+from ..functions import texts
 from ..functions import types as ty
 from ..options import ProfileOptions
 from ..plans.longform import ColumnInfo, column_infos, is_profiled, time_text, value_counts, with_values
@@ -102,7 +103,7 @@ def set_fingerprints(counts: DataFrame, bins: int) -> DataFrame:
     """ordinal, fingerprint of the set of values: count, sum, xor and second sum of hashes, and the least rank in each bin."""
     rows = counts.select("ordinal", cn.hash60(F.col("value")).alias("h"), cn.hash60(F.col("value"), "#").alias("h2"))
     whole = rows.groupBy("ordinal").agg(F.count("*").alias("c"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x"), F.sum(F.col("h2").cast("decimal(38,0)")).alias("s2"))
-    least = rows.groupBy("ordinal", (F.col("h") % bins).alias("bin")).agg(F.min((F.col("h") / bins).cast("long")).alias("rank"))
+    least = rows.groupBy("ordinal", (F.col("h") % bins).alias("bin")).agg(F.min(F.expr(f"h div {int(bins)}")).alias("rank"))
     least = least.groupBy(F.col("ordinal").alias("o")).agg(F.map_from_entries(F.collect_list(F.struct("bin", "rank"))).alias("ranks"))
     table = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at(F.col("ranks"), b.cast("long")), F.lit((1 << 63) - 1)))
     joined = whole.join(least, F.col("ordinal") == F.col("o"))
@@ -183,14 +184,13 @@ def table_overview(profiles: DataFrame) -> DataFrame:
 
 def insight_rows(profiles: DataFrame) -> DataFrame:
     """A row for each observation of a column: schema_name, table_name, name, insight, detail."""
-    from ..functions import texts
-
     first = F.get(F.col("values"), 0)["value"]
+    say = lambda when, insight, detail: F.when(when, F.struct(F.lit(insight).alias("insight"), detail.alias("detail")))
     found = F.array(
-        F.when(F.col("potential_enum"), F.struct(F.lit(texts.ENUM).alias("insight"), texts.value_summary(F.col("values")).alias("detail"))),
-        F.when(F.col("candidate_primary_key"), F.struct(F.lit(texts.KEY), F.concat(F.lit("非空且唯一率="), texts.percent(F.col("uniqueness"))))),
-        F.when(F.col("constant"), F.struct(F.lit(texts.CONSTANT), F.concat(F.lit("Distinct=1"), F.when(first.isNull(), "").otherwise(F.concat(F.lit(", value="), first))))),
-        F.when(F.col("quasi_constant") & ~F.col("constant"), F.struct(F.lit("准常量字段"), F.lit("值高度集中"))),
+        say(F.col("potential_enum"), texts.ENUM, texts.value_summary(F.col("values"))),
+        say(F.col("candidate_primary_key"), texts.KEY, F.concat(F.lit("非空且唯一率="), texts.percent(F.col("uniqueness")))),
+        say(F.col("constant"), texts.CONSTANT, F.concat(F.lit("Distinct=1"), F.when(first.isNull(), "").otherwise(F.concat(F.lit(", value="), first)))),
+        say(F.col("quasi_constant") & ~F.col("constant"), "准常量字段", F.lit("值高度集中")),
     )
     rows = profiles.select("schema_name", "table_name", "ordinal", "name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
     return rows.select("schema_name", "table_name", "ordinal", "name", "x.insight", "x.detail")

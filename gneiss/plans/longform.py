@@ -71,7 +71,8 @@ def _cell(info: ColumnInfo, options: ProfileOptions) -> Column:
     native = dict.fromkeys(k for k, _ in _NATIVE)
     if info.is_lob:
         held = c.isNotNull()
-        length = F.when(held, F.length(c) if text else F.octet_length(c))
+        # a number in place of a large object is its length, computed where the object is
+        length = c if isinstance(info.kind, T.IntegralType) else F.when(held, cn.utf16_length(c) if text else F.octet_length(c))
         if options.pattern_profile_enabled and options.clob_preview_chars and text:
             preview = F.when(held & (c != ""), F.substring(c, 1, options.clob_preview_chars))
     elif text:
