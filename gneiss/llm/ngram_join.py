@@ -351,6 +351,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     many = rows.filter("shards > 1")
     if not many.isEmpty():
         links = links.union(_large(many, n, percent))
+    twice = cut(table.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("p1").alias("x"), F.max("p1").alias("y")).filter("x <> y").select(F.col("id").alias("i")))
+    if not twice.isEmpty():  # ids of several rows with different sets link the classes of these
+        held = table.join(twice, F.col("id") == F.col("i")).select("id", "p1", "p2").join(classes, ["p1", "p2"]).groupBy("id").agg(F.collect_set("first").alias("s"))
+        links = links.union(held.select(F.array_min("s").alias("a"), F.explode("s").alias("b")))
     root = components(links).select(F.col("node").alias("first"), "root")
     classes = classes.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), "first").join(root, "first", "left").select("q1", "q2", F.coalesce("root", "first").alias("least"))
     # without a set there is no class; a null id has none either

@@ -22,9 +22,9 @@ from .textnum import chunks, mix, span_hashes
 
 #: Labelled rows that the chain learns from, at most.
 MOST_ROWS = 8_000
-#: Telling inputs of a category, and documents of the sample that must have one.
-TELLING, LEAST_DOCS = 250, 4
-FOLDS, STEPS, RIDGE = 4, 120, 2e-4
+#: Telling inputs of a category; documents of the sample that must have one; and its least chi squared, which chance seldom gives.
+TELLING, LEAST_DOCS, LEAST_CHI = 250, 4, 10.0
+FOLDS, STEPS, RIDGE = 4, 120, 1e-3
 #: Bytes of a word's beginnings.
 HEADS = (4, 5, 6, 7)
 
@@ -151,7 +151,7 @@ def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     f1 = 2 * right / (all_ + (weight * y).sum())
     k = int(f1.argmax())
     follow = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[order[k]] + follow) / 2, 0.2, 0.8))
+    return float(np.clip((p[order[k]] + follow) / 2, 0.3, 0.7))
 
 
 def fit_chain(x: np.ndarray, ys: dict[str, np.ndarray], weight: np.ndarray, telling: np.ndarray) -> Chain:
@@ -199,7 +199,7 @@ def _telling(rows: DataFrame, names: list[str]) -> np.ndarray:
         if 0 < share < 1:
             expected = F.col("n") * share
             over = F.col(f"n_{k}") - expected
-            best = counts.filter(over > 0).orderBy((over * over / expected).desc(), "hash").limit(TELLING)
+            best = counts.filter((over > 0) & (over * over / expected >= LEAST_CHI)).orderBy((over * over / expected).desc(), "hash").limit(TELLING)
             chosen |= {r["hash"] for r in best.select("hash").collect()}
     return np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
 
