@@ -36,7 +36,7 @@ def _distinct_and_top(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
         runs = np.diff([*start.tolist(), len(v)])
         most = np.zeros(n, np.int64)
         np.maximum.at(most, d[start], runs)
-        distinct = np.bincount(d[start], minlength=n) / np.maximum(sizes, 1)
+        distinct = np.where(sizes > 0, np.bincount(d[start], minlength=n) / np.maximum(sizes, 1), 1.0)  # as if alone in its batch
         top = most / np.maximum(sizes, 1)
     return distinct, top
 
