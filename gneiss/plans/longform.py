@@ -59,16 +59,18 @@ def column_infos(df: DataFrame, primary_keys: tuple[str, ...] = (), lobs: dict[s
     return out
 
 
-_NATIVE = (("whole", "bigint"), ("real", "double"), ("time", "timestamp_ntz"))
-_CELL = "struct<ordinal:int,text:string,preview:string,whole:bigint,real:double,time:timestamp_ntz,nulls:int,blanks:int,semantic:int,trimmed:int,len:bigint>"
-_KEYS = ("ordinal", "text", "preview", "whole", "real", "time")
+_NATIVE = {"whole": "bigint", "real": "double", "time": "timestamp_ntz"}
+#: Fields that identify a distinct cell; a table carries only those that some column of it needs.
+_KEYS = {"text": "string", "preview": "string"} | _NATIVE
+_NULL, _BLANK, _SEMANTIC = 1, 2, 3
 
 
-def _cell(info: ColumnInfo, options: ProfileOptions) -> Column:
+def _cell(info: ColumnInfo, options: ProfileOptions) -> dict[str, Column | None]:
+    """The fields of a column's cell; None where the column has nothing to say."""
     c = F.col(f"`{info.name}`")
     text = isinstance(info.kind, T.StringType)
     value = blank = semantic = changed = length = preview = None
-    native = dict.fromkeys(k for k, _ in _NATIVE)
+    native = dict.fromkeys(_NATIVE)
     if info.is_lob:
         held = c.isNotNull()
         # a number in place of a large object is its length, computed where the object is
@@ -88,22 +90,30 @@ def _cell(info: ColumnInfo, options: ProfileOptions) -> Column:
     else:
         value = cn.canonical(c, info.kind, options.trim_strings)
         length = F.octet_length(c) if isinstance(info.kind, T.BinaryType) else None
-    flag = lambda x: F.lit(0) if x is None else F.when(x, 1).otherwise(0)
     if not (options.distinct_enabled or options.pattern_profile_enabled or options.string_shape_enabled or options.case_variant_tracking_enabled) and value is not None:
         value = F.when(value.isNotNull(), F.lit(""))
-    part = lambda x, kind: F.lit(None).cast(kind) if x is None else x.cast(kind)
-    return F.struct(
-        F.lit(info.ordinal), part(value, "string"), part(preview, "string"), *[part(native[k], t) for k, t in _NATIVE],
-        flag(c.isNull()), flag(blank), flag(semantic), flag(changed), part(length if options.length_enabled else None, "bigint"),
-    ).cast(_CELL)
+    state = F.when(c.isNull(), _NULL)
+    if text and not info.is_lob:
+        state = state.when(blank, _BLANK).when(semantic, _SEMANTIC)
+    return {"state": state.otherwise(0), "text": value, "preview": preview, **native, "trimmed": None if changed is None else F.when(changed, 1).otherwise(0), "len": length if options.length_enabled else None}
 
 
 def value_counts(df: DataFrame, infos: list[ColumnInfo], options: ProfileOptions) -> DataFrame:
     """A row for each distinct cell of a column, by its native value, with n and what those cells add up to."""
-    cells = df.select(F.explode(F.array(*[_cell(i, options) for i in infos])).alias("cell")).select("cell.*")
-    return cells.groupBy(*_KEYS).agg(
-        F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in ("nulls", "blanks", "semantic", "trimmed")],
-        F.count("len").alias("len_n"), F.sum("len").alias("len_sum"), F.min("len").alias("len_min"), F.max("len").alias("len_max"),
+    fields = {i.ordinal: _cell(i, options) for i in infos}
+    kinds = {"state": "int", **_KEYS, "trimmed": "int", "len": "bigint"}
+    used = {k: t for k, t in kinds.items() if any(f[k] is not None for f in fields.values())}
+    cells = [F.struct(F.lit(o).alias("ordinal"), *[(F.lit(None) if f[k] is None else f[k]).cast(t).alias(k) for k, t in used.items()]) for o, f in fields.items()]
+    rows = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    sums = [F.sum("trimmed").cast("long").alias("trimmed_n")] if "trimmed" in used else []
+    if "len" in used:
+        sums += [F.count("len").alias("len_n"), F.sum("len").alias("len_sum"), F.min("len").alias("len_min"), F.max("len").alias("len_max")]
+    out = rows.groupBy("ordinal", "state", *[k for k in _KEYS if k in used]).agg(F.count("*").alias("n"), *sums)
+    absent = lambda k, t: F.col(k) if k in out.columns else F.lit(None).cast(t).alias(k)
+    of = lambda state, name: F.when(F.col("state") == state, F.col("n")).otherwise(0).alias(name)
+    return out.select(
+        "ordinal", *[absent(k, t) for k, t in _KEYS.items()], "n", of(_NULL, "nulls"), of(_BLANK, "blanks"), of(_SEMANTIC, "semantic"), F.coalesce(absent("trimmed_n", "long"), F.lit(0)).alias("trimmed"),
+        F.coalesce(absent("len_n", "long"), F.lit(0)).alias("len_n"), *[absent(k, "long") for k in ("len_sum", "len_min", "len_max")],
     )
 
 
