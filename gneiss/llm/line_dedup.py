@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, put
+from .common import SPACE, ascii_lower, cut, put
+
+#: Most hot keys there can be, and the tasks that share one.
+HOT_KEYS, SALTS = 1000, 64
 
 
 def _keys(text: Column) -> Column:
@@ -28,6 +31,21 @@ def _kept(lines: Column, drop: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), k), between)), "\n")
 
 
+def _salted(line: DataFrame, held: DataFrame) -> DataFrame:
+    """line joined with held on the key's hashes; lines of hot keys are dealt to SALTS tasks.
+
+    A hot key has a thousandth of all lines of held keys or more, so there are at most a
+    thousand, and these alone are broadcast.
+    """
+    lines = held.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_KEYS >= lines
+    known = held.filter(hot).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.lit(True).alias("hot"))
+    line = line.join(F.broadcast(known), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+    line = line.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("k1", "k2", "hot")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return line.join(held.select("h1", "h2", "home", F.explode(salts).alias("salt")), ["h1", "h2", "salt"])
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """The rows of ``docs`` with deduplicated text, plus ``n_lines`` and ``n_dropped``.
 
@@ -48,11 +66,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("id", "finger", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     if min_docs == 2:
-        held = line.groupBy("h1", "h2").agg(F.min("id").alias("home"), F.max("id").alias("other")).filter("home <> other")
+        held = line.groupBy("h1", "h2").agg(F.min("id").alias("home"), F.max("id").alias("other"), F.count("*").alias("n")).filter("home <> other")
     else:
-        held = line.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.min("id").alias("home"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+        held = line.groupBy("h1", "h2", "id").agg(F.count("*").alias("m")).groupBy("h1", "h2").agg(F.min("id").alias("home"), F.count("*").alias("d"), F.sum("m").alias("n")).filter(F.col("d") >= min_docs)
+    held = cut(held.select("h1", "h2", "home", "n"))
     drop = (
-        line.join(held.select("h1", "h2", "home"), ["h1", "h2"])
+        _salted(line, held)
         .filter("id <> home")
         .groupBy(F.col("id").alias("__id"), F.col("finger").alias("__finger"))
         .agg(F.sort_array(F.collect_set("pos")).alias("__drop"))
