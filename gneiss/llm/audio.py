@@ -26,6 +26,8 @@ WIDTH = 32
 MOST_ERROR, LEAST_OVERLAP = 0.2, 16
 #: A query's integers match at one offset at least so often.
 LEAST_VOTES = 3
+#: Members of classes of so many recordings are named by broadcasting the class: no task gets a whole class.
+LARGE_CLASS = 1000
 
 
 def _filters() -> list[tuple[str, int, int, int]]:
@@ -125,16 +127,48 @@ def best_offset(query: np.ndarray, other: np.ndarray) -> tuple[int, int, float,
     return best
 
 
+def classed(media: DataFrame, id_col: str, media_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, print, class of each recording with an id; class, first, n_copies, print of each class that isn't empty)."""
+    rows = cut(fingerprints(media.filter(F.col(id_col).isNotNull()), id_col, media_col).withColumn("class", F.md5("print")))
+    classes = cut(rows.filter(F.length("print") > 0).groupBy("class").agg(F.min("id").alias("first"), F.count_distinct("id").alias("n_copies"), F.first("print").alias("print")))
+    return rows, classes
+
+
 def align(media: DataFrame, id_col: str, media_col: str, every: int = 50) -> DataFrame:
     """query_id, match_id, n_copies, offset, votes, bit_error: for ids divisible by ``every`` the recordings that align with it.
 
     Recordings of equal fingerprints are one class: match_id is its smallest id, n_copies its
-    size. A query's own class is listed if it has other members. A query without any match is
-    one row of nulls. Empty fingerprints (null, corrupt, short or silent media) match nothing.
-    Rows with a null id take no part; repeated ids count once. An empty table gives no rows.
+    size; ``members`` names the others. A query's own class is listed if it has other members. A
+    query without any match is one row of nulls. Empty fingerprints (null, corrupt, short or silent
+    media) match nothing. Rows with a null id take no part; repeated ids count once. An empty table
+    gives no rows.
     """
-    rows = cut(fingerprints(media.filter(F.col(id_col).isNotNull()), id_col, media_col).withColumn("class", F.md5("print")))
-    classes = cut(rows.filter(F.length("print") > 0).groupBy("class").agg(F.min("id").alias("first"), F.count_distinct("id").alias("n_copies"), F.first("print").alias("print")))
+    return _align(*classed(media, id_col, media_col), every)
+
+
+def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """match_id, n_copies, member_id: a row for each recording (member_id) with the match_id of its class; nulls for empty fingerprints."""
+    each = rows.select(F.col("id").alias("member_id"), F.when(F.length("print") > 0, F.col("class")).alias("class")).distinct()
+    names = classes.select("class", F.col("first").alias("match_id"), "n_copies")
+    large = F.broadcast(names.filter(F.col("n_copies") >= LARGE_CLASS))
+    heard = each.filter(F.col("class").isNotNull())
+    rest = heard.join(large.select("class"), "class", "left_anti").join(names.filter(F.col("n_copies") < LARGE_CLASS), "class")
+    nothing = F.lit(None).cast("long")
+    silent = each.filter(F.col("class").isNull()).select(nothing.alias("match_id"), nothing.alias("n_copies"), "member_id")
+    return heard.join(large, "class").unionByName(rest).select("match_id", "n_copies", "member_id").unionByName(silent)
+
+
+def align_and_name(media: DataFrame, id_col: str, media_col: str, every: int = 50) -> DataFrame:
+    """The rows of ``align``, with a null member_id, and those of ``members``, with nulls in the columns they lack.
+
+    So all recordings of a match are the member_id of rows with the same match_id and no
+    query_id: a list that grows with the recordings, not with the pairs of copies.
+    """
+    rows, classes = classed(media, id_col, media_col)
+    return _align(rows, classes, every).unionByName(members(rows, classes), allowMissingColumns=True)
+
+
+def _align(rows: DataFrame, classes: DataFrame, every: int) -> DataFrame:
     queries = rows.filter((F.col("id") % every == 0)).select(F.col("id").alias("query_id"), "class").distinct()
     asked = queries.select("class").distinct().join(classes.select("class", "print"), "class")
 

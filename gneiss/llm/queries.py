@@ -42,8 +42,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There is no audio among the tables: the vectors are rendered as recordings first."""
-    return audio.align(audio.render(table(spark, sf_dir, "embeddings")), "id", "media")
+    """There is no audio among the tables: the vectors are rendered as recordings first. Alignments, and a row for each recording with its class."""
+    return audio.align_and_name(audio.render(table(spark, sf_dir, "embeddings")), "id", "media")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
