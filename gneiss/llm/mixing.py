@@ -93,6 +93,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(F.col("id").alias(id_col), "finger", "size", "source_size", "target", "taken", "passes")
 
 
+def by_first_turn(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``mix_sources``, range-sorted by the position at which the mix first takes them; those never taken last, in order of id."""
+    return mixed.orderBy(F.get("passes", F.lit(0))["position"].asc_nulls_last(), id_col, "finger")
+
+
+def turns(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, turn (from 1), position, words: a row for each time the mix takes a document, range-sorted by position."""
+    each = mixed.select(id_col, "finger", F.posexplode("passes").alias("k", "pass"))
+    each = each.select(id_col, "finger", (F.col("k") + 1).alias("turn"), "pass.position", "pass.words")
+    return each.orderBy("position", id_col, "turn", "finger").drop("finger")
+
+
 def in_training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The documents the mix takes, a row for each time, range-sorted by training position; input columns only.
 

@@ -55,10 +55,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    """The columns of the SQL, range-sorted by the position of a document's first turn; documents that are never taken come last."""
+    rows = mixing.by_first_turn(mixing.mix_sources(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positions that op10_mixing sorts by: a row for each turn of a document, range-sorted. Beyond SQL's columns, so a query of its own."""
+    return mixing.turns(mixing.mix_sources(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -70,6 +76,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op10_turns": op10_turns,
 }
 
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op8_secrets": secrets.ORACLE, "op10_mixing": mixing.ORACLE}
