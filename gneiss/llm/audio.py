@@ -26,6 +26,12 @@ WIDTH = 32
 MOST_ERROR, LEAST_OVERLAP = 0.2, 16
 #: A query's integers match at one offset at least so often.
 LEAST_VOTES = 3
+#: Samples a second to which recordings are brought; FRAME and HOP are counted in them.
+RATE = 2000
+#: Half the zero crossings of the resampling filter.
+TAPS = 16
+#: Offsets are counted by Fourier transform beyond so many steps for each integer; lists are made in pieces of about PIECE.
+MANY, PIECE = 64, 1_000_000
 #: Members of classes of so many recordings are named by broadcasting the class: no task gets a whole class.
 LARGE_CLASS = 1000
 
@@ -42,17 +48,41 @@ LEVELS = np.array([-0.18, 0.0, 0.18])
 
 
 def decode(media: bytes | None) -> tuple[np.ndarray, int]:
-    """(samples in [-1, 1], rate) of 16-bit PCM WAV, channels averaged; nothing for what can't be read."""
+    """(samples in [-1, 1], rate) of PCM WAV of 8 to 32 bits, channels averaged; nothing for what can't be read."""
     try:
         with wave.open(io.BytesIO(media or b"")) as w:
-            if w.getsampwidth() != 2:
+            raw, width, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getframerate()
+            raw = raw[: len(raw) // (width * w.getnchannels()) * width * w.getnchannels()]
+            if rate < 1 or not 1 <= width <= 4:
                 return np.zeros(0), 1
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float64) / 32768
-            return x[: len(x) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(1), w.getframerate()
+            if width == 1:
+                x = np.frombuffer(raw, "u1").astype(np.float64) / 128 - 1
+            else:  # the low bytes that a width lacks are zero
+                wide = np.zeros((len(raw) // width, 4), np.uint8)
+                wide[:, 4 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+                x = wide.view("<i4")[:, 0].astype(np.float64) / 2**31
+            return x.reshape(-1, w.getnchannels()).mean(1), rate
     except (wave.Error, EOFError):
         return np.zeros(0), 1
 
 
+def resample(x: np.ndarray, rate: int) -> np.ndarray:
+    """The samples at RATE, by a windowed sinc that passes what both rates can hold."""
+    if rate == RATE or not len(x):
+        return x
+    most = min(1.0, RATE / rate) * 0.95  # of the input's bandwidth
+    reach = int(np.ceil(TAPS / most))
+    padded = np.pad(x, reach + 1)
+    out = np.zeros(len(x) * RATE // rate)
+    step = max(1, PIECE // (2 * reach))
+    for k in range(0, len(out), step):
+        t = np.arange(k, min(k + step, len(out))) * (rate / RATE)
+        near = np.floor(t).astype(np.int64)[:, None] + np.arange(1 - reach, reach + 1)
+        d = near - t[:, None]
+        out[k : k + step] = (padded[near + reach + 1] * most * np.sinc(most * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / reach, -1, 1)))).sum(1)
+    return out
+
+
 def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     """Energy per frame and pitch class, of tones from 110 Hz on; each frame sums to 1 unless silent."""
     if len(x) < FRAME:
@@ -93,7 +123,8 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
         else:
             left = area(t, t + w // 2, c, c + h // 2) + area(t + w // 2, t + w, c + h // 2, c + h)
             right = area(t, t + w // 2, c + h // 2, c + h) + area(t + w // 2, t + w, c, c + h // 2)
-        level = np.searchsorted(LEVELS, np.log1p(left) - np.log1p(right)).astype(np.uint32)
+        # rounded, for equal areas of steady sound differ by the image's rounding errors, and zero is a bound
+        level = np.searchsorted(LEVELS, np.round(np.log1p(left) - np.log1p(right), 9)).astype(np.uint32)
         out |= (level ^ (level >> 1)) << np.uint32(2 * k)  # neighbouring levels differ in one bit
     return out
 
@@ -103,28 +134,73 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            prints = [fingerprint(chroma(*decode(x.as_py()))).astype("<u4").tobytes() for x in batch.column(1)]
+            prints = [fingerprint(chroma(resample(*decode(x.as_py())), RATE)).astype("<u4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["id", "print"])
 
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, print binary")
 
 
-def best_offset(query: np.ndarray, other: np.ndarray) -> tuple[int, int, float, int]:
-    """(offset, votes, bit error, overlap) where most equal integers line up, the smallest error of ties."""
+def votes_by_offset(query: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many integers are equal at each offset, from -(len(query) - 1) on.
+
+    Integers that repeat often are counted by Fourier transform and the rest listed in pieces, so
+    memory stays in proportion to the recordings however steady their sound is.
+    """
+    size = len(query) + len(other) - 1
+    (u, n), (v, m) = np.unique(query, return_counts=True), np.unique(other, return_counts=True)
+    values, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    often = n[i] * m[j] > MANY * size
+    votes = np.zeros(size, np.int64)
+    for x in values[often]:
+        votes += _correlate(query == x, other == x)
     order = np.argsort(other, kind="stable")
-    low, high = np.searchsorted(other[order], query, "left"), np.searchsorted(other[order], query, "right")
+    at = np.flatnonzero(np.isin(query, values[~often]))
+    low, high = np.searchsorted(other[order], query[at], "left"), np.searchsorted(other[order], query[at], "right")
+    done = np.cumsum(high - low)
+    for k in np.split(np.arange(len(at)), np.searchsorted(done, np.arange(PIECE, done[-1], PIECE)) if len(at) else []):
+        c = high[k] - low[k]
+        hit = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[k], c)
+        votes += np.bincount(order[hit] - np.repeat(at[k], c) + len(query) - 1, minlength=size)
+    return votes
+
+
+def _correlate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole sums of a[i] * b[i + offset], for offsets from -(len(a) - 1) on."""
+    size = len(a) + len(b) - 1
+    n = 1 << size.bit_length()
+    return np.rint(np.fft.irfft(np.fft.rfft(a[::-1].astype(np.float64), n) * np.fft.rfft(b.astype(np.float64), n), n)[:size]).astype(np.int64)
+
+
+def bit_errors(query: np.ndarray, other: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean bit error, overlap) at each of these offsets; many of them at once by Fourier transform."""
+    low, high = np.maximum(0, -offsets), np.minimum(len(query), len(other) - offsets)
     n = high - low
-    q = np.repeat(np.arange(len(query)), n)
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    offsets, votes = np.unique(order[at] - q, return_counts=True)
-    best = (0, 0, 1.0, 0)
-    for offset in offsets[votes == votes.max()].tolist() if len(offsets) else []:
-        a, b = max(0, -offset), min(len(query), len(other) - offset)
-        bits = np.bitwise_count(query[a:b] ^ other[a + offset : b + offset]).sum()
-        error = float(bits) / (32 * (b - a))
-        if error < best[2] or best[1] == 0:
-            best = (int(offset), int(votes.max()), error, b - a)
-    return best
+    size = len(query) + len(other)
+    if n.sum() <= MANY * size:
+        bits = [np.bitwise_count(query[a:b] ^ other[a + k : b + k]).sum() for k, a, b in zip(offsets.tolist(), low.tolist(), high.tolist(), strict=True)]
+        return np.array(bits, np.float64) / (32 * n), n
+    same = np.zeros(size - 1, np.int64)  # equal bits less unequal ones
+    for bit in range(32):
+        a, b = ((x >> np.uint32(bit) & np.uint32(1)).astype(np.int8) * 2 - 1 for x in (query, other))
+        same += _correlate(a, b)
+    return (32 * n - same[offsets + len(query) - 1]) / 2 / (32 * n), n
+
+
+def best_offset(query: np.ndarray, other: np.ndarray) -> tuple[int, int, float, int]:
+    """(offset, votes, bit error, overlap) of the alignment with most votes, the smallest error of ties; no votes if none counts.
+
+    Every offset with LEAST_VOTES votes is judged by its error and overlap.
+    """
+    if not len(query) or not len(other):
+        return (0, 0, 1.0, 0)
+    votes = votes_by_offset(query, other)
+    at = np.flatnonzero(votes >= LEAST_VOTES)
+    error, n = bit_errors(query, other, at - (len(query) - 1))
+    good = np.flatnonzero((error <= MOST_ERROR) & (n >= LEAST_OVERLAP))
+    if not len(good):
+        return (0, 0, 1.0, 0)
+    k = good[np.lexsort((error[good], -votes[at[good]]))[0]]
+    return (int(at[k]) - (len(query) - 1), int(votes[at[k]]), float(error[k]), int(n[k]))
 
 
 def classed(media: DataFrame, id_col: str, media_col: str) -> tuple[DataFrame, DataFrame]:
@@ -175,19 +251,20 @@ def _align(rows: DataFrame, classes: DataFrame, every: int) -> DataFrame:
     def post(batches):
         for batch in batches:
             for i, p in enumerate(batch.column(1)):
-                values = np.unique(np.frombuffer(p.as_py(), "<u4")).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(values), pa.string()), pa.array(values)], names=["class", "value"])
-
-    mine = asked.mapInArrow(post, "class string, value long").withColumnRenamed("class", "q")
-    theirs = classes.select("class", "print").mapInArrow(post, "class string, value long")
-    # two shared integers at least bring a pair together
-    pairs = mine.join(theirs, "value").filter("q <> class").groupBy("q", "class").agg(F.count("*").alias("shared")).filter(F.col("shared") >= 2)
+                values, times = np.unique(np.frombuffer(p.as_py(), "<u4"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(times, pa.int64())], names=["class", "value", "times"])
+
+    mine = asked.mapInArrow(post, "class string, value long, times long").select(F.col("class").alias("q"), "value", F.col("times").alias("q_times"))
+    theirs = classes.select("class", "print").mapInArrow(post, "class string, value long, times long")
+    # no offset has more votes than shared occurrences, so this loses no pair
+    shared = F.sum(F.least("q_times", "times"))
+    pairs = mine.join(theirs, "value").filter("q <> class").groupBy("q", "class").agg(shared.alias("shared")).filter(F.col("shared") >= LEAST_VOTES)
     pairs = pairs.join(asked.select(F.col("class").alias("q"), F.col("print").alias("q_print")), "q").join(classes.select("class", "print", "first", "n_copies"), "class")
 
     def lined(batches):
         for batch in batches:
             found = [best_offset(*(np.frombuffer(x.as_py(), "<u4") for x in p)) for p in zip(batch.column(1), batch.column(2), strict=True)]
-            keep = pa.array([v >= LEAST_VOTES and e <= MOST_ERROR and n >= LEAST_OVERLAP for _, v, e, n in found], pa.bool_())
+            keep = pa.array([v > 0 for _, v, _, _ in found], pa.bool_())
             cols = [pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), *cols], names=["q", "match_id", "n_copies", "offset", "votes", "bit_error"])
             yield out.filter(keep)
@@ -198,8 +275,8 @@ def _align(rows: DataFrame, classes: DataFrame, every: int) -> DataFrame:
     return queries.join(matched.union(own), F.col("class") == F.col("q"), "left").select("query_id", "match_id", "n_copies", "offset", "votes", "bit_error")
 
 
-#: The tones of rendered vectors.
-RATE, NOTE = 2000, 128
+#: Samples of a tone of rendered vectors.
+NOTE = 128
 
 
 def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
