@@ -16,14 +16,21 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# A run is matched whole, so patterns of runs can ask for the least length: shorter runs fail either way.
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
 #: kind, pattern, group of the value, least length of the value. Order breaks ties of start.
 BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 #: The method's own kind: long runs with letters and digits, reported only where few owners have them.
-OWNED = ("owned", r"[A-Za-z0-9+/_=-]+", 0, 20)
+OWNED = ("owned", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
+#: One of these is in any text, lower-cased, that a kind can match: cheaper to look for than the pattern.
+_HINTS = {"assign": ("password", "passwd", "secret", "token", "api_key", "apikey"), "access": ("akia",)}
+#: Parts of a text that are folded at once.
+_FOLD = 256
 #: A value that so many owners have is a copied example.
 COPIED_OWNERS = 5
+#: Most hot values there can be.
+HOT_VALUES = 1000
 #: A live-looking value has at least so many different characters.
 LEAST_DISTINCT = 8
 #: Private-use code points that mark matches; in the text they count as any other that no pattern takes.
@@ -31,8 +38,12 @@ _OPEN, _CLOSE, _OTHER = "", "", "�"
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int, order: int) -> Column:
-    """array<struct<start, order, end, kind, value>> of matches, leftmost and non-overlapping; failing ones dropped."""
+    """array<struct<start, order, end, kind, value>> of matches, leftmost and non-overlapping; failing ones dropped.
+
+    Parts are folded in runs of _FOLD, then the runs, so a text with very many matches isn't copied for each.
+    """
     parts = F.split(F.regexp_replace(text, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
+    none = F.expr("CAST(array() AS array<struct<start:int,order:int,end:int,kind:string,value:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x)
@@ -42,15 +53,36 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int, order:
         found = F.when(acc["odd"] & (F.length(value) >= least), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), found.alias("found"))
 
-    empty = "CAST(array() AS array<struct<start:int,order:int,end:int,kind:string,value:string>>)"
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.expr(empty).alias("found"))
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    def run(n: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("found"))
+        return F.aggregate(F.slice(parts, n * _FOLD + 1, _FOLD), start, step, lambda acc: F.struct(acc["at"].alias("size"), acc["found"].alias("found")))
+
+    def join(acc: Column, x: Column) -> Column:
+        at = acc["at"]
+        moved = F.transform(x["found"], lambda s: F.struct((s["start"] + at).alias("start"), s["order"].alias("order"), (s["end"] + at).alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+        return F.struct((at + x["size"]).alias("at"), F.concat(acc["found"], F.array(moved)).alias("found"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _FOLD).cast("int")), run)
+    all_ = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array(none).alias("found")), join, lambda acc: F.flatten(acc["found"]))
+    may = text.rlike(pattern)
+    if hints := _HINTS.get(kind):
+        may = reduce(lambda a, b: a | b, [F.lower(text).contains(h) for h in hints]) & may
+    return F.when(may, all_).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _salted(at: DataFrame, counts: DataFrame) -> DataFrame:
+    """at joined with counts on the hash; hot values, of a thousandth of all spans or more and so a thousand at most, are broadcast."""
+    hot = F.col("m") * HOT_VALUES >= (counts.agg(F.sum("m")).first()[0] or 0)
+    known = counts.filter(hot).select("hash", F.col("n_repos").alias("r"), F.col("n_owners").alias("o"))
+    at = at.join(F.broadcast(known), "hash", "left")
+    found = at.filter("r IS NOT NULL").withColumnsRenamed({"r": "n_repos", "o": "n_owners"})
+    return at.filter("r IS NULL").drop("r", "o").join(counts.filter(~hot).drop("m"), "hash").unionByName(found)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_cols: tuple = ("doc_id",), owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """Per row of ``docs``: id, base (spans of the three base kinds), spans (with the owned ones).
 
@@ -59,8 +91,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     few different characters) or ``live``. A repository belongs to its owner: it is owner and
     ``repo_cols`` together. Owned candidates overlap no base span and stay only when live.
 
-    Null text is empty. Null owners form one owner. Repeated rows are scanned one by one and
-    count as one repository. An empty table gives no rows.
+    Null text is empty; texts of any length are scanned whole. Null owners form one owner.
+    Repeated rows are scanned one by one and count as one repository; spans of equal start are in
+    the order of their kinds. Columns beside these are not read, whatever their names. An empty
+    table gives no rows.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _OPEN + _CLOSE, _OTHER * 2)
     found = docs.select(
@@ -76,13 +110,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     found = cut(found.select("id", "finger", "owner", "repo", "base", owned.alias("owned")))
 
     each = found.select("owner", "repo", F.explode(F.concat("base", "owned")).alias("span")).select("owner", "repo", F.md5("span.value").alias("hash"))
-    counts = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash")
-    counts = counts.agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    counts = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("m")).groupBy("hash", "owner").agg(F.count("*").alias("n"), F.sum("m").alias("m")).groupBy("hash")
+    counts = cut(counts.agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("m").alias("m")))
 
     at = found.select("id", "finger", F.explode(F.concat("base", "owned")).alias("span")).distinct().withColumn("hash", F.md5("span.value"))
     variety = F.size(F.array_distinct(F.split("span.value", "")))
     verdict = F.when(F.col("n_owners") >= copied_owners, "copied").when(variety < LEAST_DISTINCT, "plain").otherwise("live")
-    at = at.join(counts, "hash").withColumn("verdict", verdict).filter((F.col("span.kind") != "owned") | (F.col("verdict") == "live"))
+    at = _salted(at, counts).withColumn("verdict", verdict).filter((F.col("span.kind") != "owned") | (F.col("verdict") == "live"))
     told = F.struct("span.start", "span.order", "span.end", "span.kind", "span.value", "n_repos", "n_owners", "verdict")
     at = at.groupBy(F.col("id").alias("i"), F.col("finger").alias("f")).agg(F.array_sort(F.collect_list(told)).alias("spans"))
     rows = found.select("id", "finger", "base").join(at, F.col("id").eqNullSafe(F.col("i")) & (F.col("finger") == F.col("f")), "left")
