@@ -3,7 +3,8 @@
 The categories are predicted one after another; each later model also sees the probabilities of
 the earlier ones, in training those of models that have not seen the row (out of fold). Inputs
 are counts of telling words and beginnings of words, chosen on the labelled sample, and the
-document's statistics.
+document's statistics. For the models of a fold they are chosen on the other folds, so neither
+the probabilities nor the thresholds tuned on them have seen the row's label in any way.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import docstats
@@ -34,7 +36,10 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def category_columns(quality: str = "quality", toxic: str = "toxic") -> dict[str, Column]:
-    """The chain's categories in order, from the two labels there are: junk, toxic, and toxic junk."""
+    """The chain's categories in order, from the two labels there are: junk, toxic, and toxic junk.
+
+    The third is the product of the two before, so its link has little to learn; only ``toxic`` rejects.
+    """
     return {"junk": 1 - F.col(quality), "toxic": F.col(toxic), "toxic_junk": (1 - F.col(quality)) * F.col(toxic)}
 
 
@@ -151,69 +156,99 @@ def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     f1 = 2 * right / (all_ + (weight * y).sum())
     k = int(f1.argmax())
     follow = p[order[k + 1]] if k + 1 < len(p) else 0.0
+    # where the classes part cleanly any cut between them has the same F1: within these bounds rows unlike any seen stay on the cautious side
     return float(np.clip((p[order[k]] + follow) / 2, 0.3, 0.7))
 
 
-def fit_chain(x: np.ndarray, ys: dict[str, np.ndarray], weight: np.ndarray, telling: np.ndarray) -> Chain:
-    """Each category's model sees the earlier categories' out-of-fold probabilities."""
+def fit_chain(x: np.ndarray, ys: dict[str, np.ndarray], weight: np.ndarray, telling: np.ndarray, fold: np.ndarray | None = None, columns: list[np.ndarray] | None = None) -> Chain:
+    """Each category's model sees the earlier categories' out-of-fold probabilities.
+
+    ``columns`` are those of x that each fold's models use, then those of the final ones; x has the
+    columns of ``telling`` first, and what follows is used by all.
+    """
+    fold = np.arange(len(x)) % FOLDS if fold is None else fold
+    columns = columns or [np.arange(x.shape[1])] * (FOLDS + 1)
     chain = Chain(list(ys), telling)
-    fold = np.arange(len(x)) % FOLDS
     seen = np.zeros((len(x), 0))
     for y in ys.values():
-        z = np.concatenate([x, seen], 1)
         held = np.zeros(len(x))
         for f in range(FOLDS):
-            held[fold == f] = fit_linear(z[fold != f], y[fold != f], weight[fold != f]).probability(z[fold == f])
-        chain.models.append(fit_linear(z, y, weight))
+            z, of = np.concatenate([x[:, columns[f]], seen], 1), fold == f
+            held[of] = fit_linear(z[~of], y[~of], weight[~of]).probability(z[of])
+        chain.models.append(fit_linear(np.concatenate([x[:, columns[FOLDS]], seen], 1), y, weight))
         chain.thresholds.append(_threshold(held, y, weight))
         seen = np.concatenate([seen, held[:, None]], 1)
     return chain
 
 
-def _telling(rows: DataFrame, names: list[str]) -> np.ndarray:
-    """For each category the inputs whose documents are most often in it (chi squared), over the sample."""
+def _fold(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), id_), F.lit(FOLDS)).cast("int")
+
+
+def _telling(rows: DataFrame, names: list[str]) -> list[np.ndarray]:
+    """The inputs whose documents are most often in some category (chi squared): for each fold over the rows of the others, then over all."""
 
     def count(batches):
         for batch in batches:
             ys = [batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+            folds = batch.column(2 + len(names)).to_numpy()
             for first, data, offsets in chunks(batch.column(1)):
                 doc, hashes = inputs(data, offsets)
-                order = np.lexsort((doc, hashes))
-                doc, hashes = doc[order], hashes[order]
+                fold = folds[first + doc]
+                order = np.lexsort((doc, fold, hashes))
+                doc, hashes, fold = doc[order], hashes[order], fold[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-                doc, hashes = doc[new], hashes[new]
+                doc, hashes, fold = doc[new], hashes[new], fold[new]
                 if len(doc):
-                    start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+                    start = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (fold[1:] != fold[:-1]))))
                     n = np.diff([*start.tolist(), len(doc)])
                     per = [np.add.reduceat(y[first + doc].astype(np.int64), start) for y in ys]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[start].view(np.int64)), pa.array(n.astype(np.int64)), *[pa.array(p) for p in per]], names=["hash", "n", *[f"n_{k}" for k in range(len(names))]])
-
-    totals = rows.agg(F.count("*"), *[F.sum(c) for c in names]).first()
-    per = ", ".join(f"n_{k} long" for k in range(len(names)))
-    counts = rows.select("id", "text", *names).mapInArrow(count, f"hash long, n long, {per}").groupBy("hash").agg(F.sum("n").alias("n"), *[F.sum(f"n_{k}").alias(f"n_{k}") for k in range(len(names))])
-    counts = cut(counts.filter(F.col("n") >= LEAST_DOCS))
-    chosen: set[int] = set()
-    for k in range(len(names)):
-        share = (totals[1 + k] or 0) / max(totals[0], 1)
-        if 0 < share < 1:
-            expected = F.col("n") * share
-            over = F.col(f"n_{k}") - expected
-            best = counts.filter((over > 0) & (over * over / expected >= LEAST_CHI)).orderBy((over * over / expected).desc(), "hash").limit(TELLING)
-            chosen |= {r["hash"] for r in best.select("hash").collect()}
-    return np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
+                    cols = [pa.array(hashes[start].view(np.int64)), pa.array(fold[start].astype(np.int32)), pa.array(n.astype(np.int64)), *[pa.array(p) for p in per]]
+                    yield pa.RecordBatch.from_arrays(cols, names=["hash", "fold", "n", *[f"n_{k}" for k in range(len(names))]])
+
+    per = [f"n_{k}" for k in range(len(names))]
+    totals = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).collect()
+    counts = rows.select("id", "text", *names, "fold").mapInArrow(count, f"hash long, fold int, n long, {', '.join(f'{c} long' for c in per)}")
+    # without fold f; no row has the fold FOLDS
+    without = [F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(FOLDS + 1) for c in ("n", *per)]
+    counts = counts.groupBy("hash").agg(*without).filter(F.col(f"n_{FOLDS}") >= LEAST_DOCS)
+    slots = []
+    for f in range(FOLDS + 1):
+        of = [r for r in totals if r["fold"] != f]
+        for k, name in enumerate(names):
+            share = sum(r[name] for r in of) / max(1, sum(r["n"] for r in of))
+            if 0 < share < 1:
+                expected = F.col(f"n_{f}") * share
+                over = F.col(f"n_{k}_{f}") - expected
+                slots.append(F.struct(F.lit(f).alias("f"), F.lit(k).alias("k"), F.when((F.col(f"n_{f}") >= LEAST_DOCS) & (over > 0), over * over / expected).alias("chi")))
+    chosen = [set() for _ in range(FOLDS + 1)]
+    if slots:
+        nth = F.row_number().over(W.partitionBy("f", "k").orderBy(F.desc("chi"), "hash"))
+        best = counts.select("hash", F.explode(F.filter(F.array(*slots), lambda x: x["chi"] >= LEAST_CHI)).alias("x")).select("hash", "x.*").withColumn("nth", nth)
+        for r in best.filter(F.col("nth") <= TELLING).select("f", "hash").collect():  # at most TELLING of each fold and category
+            chosen[r["f"]].add(r["hash"])
+    return [np.sort(np.array(sorted(c), np.int64).view(np.uint64)) for c in chosen]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, Column] | None = None, by: str = "toxic", most_rows: int = MOST_ROWS) -> Chain:
-    """A chain from at most ``most_rows`` labelled documents, half of them with the label ``by`` if there are so many."""
+    """A chain from at most ``most_rows`` labelled documents, half of them with the label ``by`` if there are so many.
+
+    Rows that repeat an id are one document, that with the least text; labels that repeat one count
+    with the largest. Null ids and null labels ``by`` are not learned from, null text is empty.
+    Without both values of a category its probability is the base rate.
+    """
     categories = categories or category_columns()
     ids, there = sample(labels, by, most_rows, id_col)
     marks = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("m_id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(k) for k, c in categories.items()])
     marks = marks.groupBy("m_id").agg(*[F.max(k).alias(k) for k in categories])
     ids = ids.join(marks, F.col("label_id") == F.col("m_id")).drop("m_id")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("label_id"))
-    rows = cut(rows.dropDuplicates(["id"]).select("id", "text", "y", *categories))
-    telling = _telling(rows, list(categories))
+    # at most most_rows ids: the texts that are not theirs never move
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("label_id"))
+    rows = rows.groupBy("id", "y", *categories).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = cut(rows.select("id", "text", "y", *categories, _fold(F.col("id")).alias("fold")))
+    sets = _telling(rows, list(categories))
+    telling = np.unique(np.concatenate(sets))
     blank = Chain(list(categories), telling)
 
     def turn(batches):
@@ -223,17 +258,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + i, 1), pa.array([x.astype(np.float32).tobytes()])], names=["id", "x"])
 
     xs = rows.select("id", "text").mapInArrow(turn, f"id {dict(rows.dtypes)['id']}, x binary").join(rows.drop("text"), "id").orderBy(F.xxhash64("id"), "id").toPandas()
-    x = np.array([np.frombuffer(b, np.float32) for b in xs["x"]], np.float64).reshape(len(xs), len(telling) + len(docstats.NAMES))
+    x = np.array([np.frombuffer(b, np.float32) for b in xs["x"]], np.float32).reshape(len(xs), len(telling) + len(docstats.NAMES))
     y = xs["y"].to_numpy(np.float64)
     share = {k: there[k] / max(1, (y == k).sum()) for k in there}
     weight = np.array([share[int(k)] for k in y])
-    return fit_chain(x, {k: xs[k].to_numpy(np.float64) for k in categories}, weight, telling)
+    rest = np.arange(len(telling), x.shape[1])
+    columns = [np.concatenate([np.searchsorted(telling, t), rest]) for t in sets]
+    return fit_chain(x, {k: xs[k].to_numpy(np.float64) for k in categories}, weight, sets[FOLDS], xs["fold"].to_numpy(), columns)
 
 
 def judge(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``p_<category>`` and ``is_<category>`` for each category, replacing columns so named.
+    """The rows of ``docs`` with ``p_<category>`` and ``is_<category>`` for each category, replacing columns so named in any case.
 
-    Null text counts as empty. Repeated rows are judged alike. An empty table gives no rows.
+    Null text counts as empty, texts of any length are read whole. Null ids are judged like others,
+    repeated rows alike; a probability equal to its threshold is in the category. All other columns
+    pass through. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = chain.names
