@@ -124,15 +124,17 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> DataFrame:
     """id, held_out, score, predicted of each row of ``docs``.
 
-    The trees learn from at most ``most_rows`` labelled rows that are not held out. Null text
-    counts as empty; empty texts are scored like any other. A null id is not held out, and never
-    learned from. Repeated rows get equal scores. Without labels, or with one label only, every
-    score is the base rate (0.5 without any). An empty table gives no rows.
+    The trees learn from at most ``most_rows`` labelled documents that are not held out. Null text
+    counts as empty; empty texts are scored like any other, texts of any length whole. A null id is
+    not held out, and never learned from. Rows that repeat an id are one document to learn from,
+    that with the least statistics. Repeated rows get equal scores, and rows of equal statistics
+    tie. Without labels, or with one label only, every score is the base rate (0.5 without any).
+    Columns beside id and text are not read, whatever their names. An empty table gives no rows.
     """
     rows = cut(statistics(docs, id_col, text_col))
     ids, there = sample(labels, label, most_rows, id_col, ~held_out(F.col(id_col)))
-    learn = rows.join(ids, rows.id == ids.label_id).select("x", "y").toPandas()
-    # repeated ids may add rows beyond the sample: those are few, and weighed like the rest
+    # the sample has most_rows ids at most, and each gives one row
+    learn = rows.join(F.broadcast(ids), F.col("id") == F.col("label_id")).groupBy("id", "y").agg(F.min("x").alias("x")).orderBy(F.xxhash64("id"), "id").toPandas()
     x = np.array(learn["x"].tolist(), np.float32).reshape(len(learn), len(docstats.NAMES))
     y = learn["y"].to_numpy(np.float64)
     share = {k: there[k] / max(1, (y == k).sum()) for k in there}
