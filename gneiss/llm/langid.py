@@ -19,6 +19,8 @@ from .textnum import chunks, mix
 
 #: Rows of each language that the model learns from, at most; a fifth of them calibrates it.
 MOST_ROWS = 800
+#: Languages that are learned, at most: those of most rows.
+MOST_LANGUAGES = 200
 BITS, LONGEST = 14, 3
 SIZE = 1 << BITS
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 2e-3, 1e-3
@@ -131,22 +133,29 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Model:
     return model
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """id, held_out, lang_pred, score of each row of ``docs``.
 
-    Learns from at most ``most_rows`` rows of each language that are not held out (those with
-    the smallest hashes of their id). Null text or text without a letter is ``und`` with score
-    0; so is everything where no row can be learned from. Null ids and null languages are not
-    learned from. Repeated rows are identified alike. An empty table gives no rows.
+    Learns from at most ``most_rows`` documents of each of the ``most_languages`` languages with
+    most rows (ties by name), those with the smallest hashes of their id; none that is held out.
+    Null text or text without a letter is ``und`` with score 0; so is everything where no row can
+    be learned from. Null ids and null languages are not learned from; of rows that repeat an id
+    and language one is, that with the least text. Repeated rows are identified alike, ties go to
+    the language first by name. Texts of any length are read whole. Columns beside these three
+    are not read, whatever their names. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     may = docs.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     keys = may.select("id", "lang", (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)).alias("turn"))
-    size = keys.groupBy("lang").count().select(F.col("lang").alias("l"), (2.0 * most_rows / F.col("count")).alias("share"))
-    # about twice as many as wanted get so far, so no language is ranked whole
-    near = keys.join(size, F.col("lang") == F.col("l")).filter("turn <= share").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("turn", "id")))
-    chosen = cut(near.filter(F.col("nth") <= most_rows).select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct())
-    learn = may.join(chosen, (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("id", "lang", "text")
+    # at most most_languages rows
+    size = keys.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    size = F.broadcast(cut(size.select(F.col("lang").alias("l"), (2.0 * most_rows / F.col("ids")).alias("share"))))
+    # before anything is dealt by language, about twice as many as wanted are left of each
+    near = keys.join(size, F.col("lang") == F.col("l")).filter("turn <= share").select("id", "lang", "turn").distinct()
+    near = near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("turn", "id")))
+    chosen = F.broadcast(cut(near.filter(F.col("nth") <= most_rows).select(F.col("id").alias("i"), F.col("lang").alias("l"))))
+    # at most most_rows * most_languages rows
+    learn = may.join(chosen, (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def count(batches):
         for batch in batches:
