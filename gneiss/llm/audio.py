@@ -32,6 +32,8 @@ RATE = 2000
 TAPS = 16
 #: Offsets are counted by Fourier transform beyond so many steps for each integer; lists are made in pieces of about PIECE.
 MANY, PIECE = 64, 1_000_000
+#: Most integers that are dealt to several tasks, and the tasks that share one.
+HOT_VALUES, SALTS = 1000, 64
 #: Members of classes of so many recordings are named by broadcasting the class: no task gets a whole class.
 LARGE_CLASS = 1000
 
@@ -62,7 +64,7 @@ def decode(media: bytes | None) -> tuple[np.ndarray, int]:
                 wide[:, 4 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
                 x = wide.view("<i4")[:, 0].astype(np.float64) / 2**31
             return x.reshape(-1, w.getnchannels()).mean(1), rate
-    except (wave.Error, EOFError):
+    except Exception:  # noqa: BLE001  whatever a damaged header makes the reader raise, one recording must not end the job
         return np.zeros(0), 1
 
 
@@ -92,9 +94,9 @@ def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     hertz = np.fft.rfftfreq(FRAME, 1 / rate)
     heard = hertz >= 110
     pitch = np.round(12 * np.log2(hertz[heard] / 440)).astype(int) % CLASSES
-    out = np.zeros((len(frames), CLASSES))
-    for c in range(CLASSES):
-        out[:, c] = power[:, heard][:, pitch == c].sum(1)
+    into = np.zeros((len(hertz), CLASSES))
+    into[np.flatnonzero(heard), pitch] = 1
+    out = power @ into
     return out / np.maximum(out.sum(1, keepdims=True), 1e-9)
 
 
@@ -129,26 +131,40 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The integer of frames without any sound, which says nothing: it is never counted, and a recording of nothing else is empty.
+SILENT = int(fingerprint(np.zeros((WIDTH, CLASSES)))[0])
+#: Samples below this are no sound: half of the least step of 16 bits.
+FAINT = 2.0**-16
+
+
+def printed(media: bytes | None) -> np.ndarray:
+    """The integers of a recording; none for what can't be read, is too short, or silent."""
+    x = resample(*decode(media))
+    out = fingerprint(chroma(np.where(np.abs(x) < FAINT, 0.0, x), RATE))
+    return out if (out != SILENT).any() else out[:0]
+
+
 def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """id, print (little-endian integers) of each recording; empty for null, corrupt, or too short media."""
+    """id, print (little-endian integers) of each recording; empty for null, corrupt, too short or silent media."""
 
     def run(batches):
         for batch in batches:
-            prints = [fingerprint(chroma(resample(*decode(x.as_py())), RATE)).astype("<u4").tobytes() for x in batch.column(1)]
+            prints = [printed(x.as_py()).astype("<u4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["id", "print"])
 
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, print binary")
 
 
 def votes_by_offset(query: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """How many integers are equal at each offset, from -(len(query) - 1) on.
+    """How many integers are equal at each offset, from -(len(query) - 1) on; silence doesn't count.
 
     Integers that repeat often are counted by Fourier transform and the rest listed in pieces, so
     memory stays in proportion to the recordings however steady their sound is.
     """
     size = len(query) + len(other) - 1
     (u, n), (v, m) = np.unique(query, return_counts=True), np.unique(other, return_counts=True)
-    values, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    values, i, j = np.intersect1d(u[u != SILENT], v[v != SILENT], assume_unique=True, return_indices=True)
+    n, m = n[u != SILENT], m[v != SILENT]
     often = n[i] * m[j] > MANY * size
     votes = np.zeros(size, np.int64)
     for x in values[often]:
@@ -216,8 +232,10 @@ def align(media: DataFrame, id_col: str, media_col: str, every: int = 50) -> Dat
     Recordings of equal fingerprints are one class: match_id is its smallest id, n_copies its
     size; ``members`` names the others. A query's own class is listed if it has other members. A
     query without any match is one row of nulls. Empty fingerprints (null, corrupt, short or silent
-    media) match nothing. Rows with a null id take no part; repeated ids count once. An empty table
-    gives no rows.
+    media) match nothing. Rows with a null id take no part; an id of several recordings asks with
+    each, and its equal ones count once. Of offsets with equal votes and errors the least counts.
+    Recordings of any length are read whole. Columns beside id and media are not read, whatever
+    their names. An empty table gives no rows.
     """
     return _align(*classed(media, id_col, media_col), every)
 
@@ -251,14 +269,21 @@ def _align(rows: DataFrame, classes: DataFrame, every: int) -> DataFrame:
     def post(batches):
         for batch in batches:
             for i, p in enumerate(batch.column(1)):
-                values, times = np.unique(np.frombuffer(p.as_py(), "<u4"), return_counts=True)
+                found = np.frombuffer(p.as_py(), "<u4")
+                values, times = np.unique(found[found != SILENT], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(times, pa.int64())], names=["class", "value", "times"])
 
     mine = asked.mapInArrow(post, "class string, value long, times long").select(F.col("class").alias("q"), "value", F.col("times").alias("q_times"))
     theirs = classes.select("class", "print").mapInArrow(post, "class string, value long, times long")
+    # integers that a thousandth of all postings hold or more, a thousand at most, are dealt to SALTS tasks
+    often = theirs.groupBy("value").agg(F.count("*").alias("n"))
+    often = cut(often.filter(F.col("n") * HOT_VALUES >= F.lit(often.agg(F.sum("n")).first()[0] or 0)).select("value", F.lit(SALTS).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    theirs = theirs.join(F.broadcast(often), "value", "left").withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int")).drop("salts")
+    mine = mine.join(F.broadcast(often), "value", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     # no offset has more votes than shared occurrences, so this loses no pair
     shared = F.sum(F.least("q_times", "times"))
-    pairs = mine.join(theirs, "value").filter("q <> class").groupBy("q", "class").agg(shared.alias("shared")).filter(F.col("shared") >= LEAST_VOTES)
+    pairs = mine.join(theirs, ["value", "salt"]).filter("q <> class").groupBy("q", "class").agg(shared.alias("shared")).filter(F.col("shared") >= LEAST_VOTES)
     pairs = pairs.join(asked.select(F.col("class").alias("q"), F.col("print").alias("q_print")), "q").join(classes.select("class", "print", "first", "n_copies"), "class")
 
     def lined(batches):
