@@ -1,7 +1,11 @@
 """Connected components. Links never leave the cluster.
 
-Up to WITHIN links, a checked count, one task solves all in bounded memory; beyond, alternating
-large-star and small-star steps do, each a few joins whatever the shape of the graph.
+One algorithm at every size: links are dealt to buckets, first at random, then by their larger
+node, and each bucket is solved by itself, which leaves a star around the smallest node of what it
+connects; a node with stars in several buckets links their centres; then every link jumps to the
+smaller node that its centre is linked to. Rounds go on until nothing moves. A bucket's solve links
+all smaller neighbours of a node, and the jump all larger ones, so the number of rounds grows with
+the logarithm of the nodes, whatever the shape of the graph.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Links that one task may hold: 16 bytes each, and as much again a few times over.
-WITHIN = 2_000_000
+#: Links of a bucket, about: 16 bytes each, and as much again a few times over.
+BUCKET_LINKS = 50_000
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,39 +36,30 @@ def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[label]
 
 
-def _in_one(e: DataFrame) -> DataFrame:
-    def run(batches):
-        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
-        if parts:
-            a, b = zip(*parts, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(np.concatenate(a), np.concatenate(b))], names=["node", "root"])
-
-    return e.coalesce(1).mapInArrow(run, "node long, root long")
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
-    return both.join(least, both.a == least.x).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    rest = e.join(least.withColumnRenamed("a", "x"), F.col("a") == F.col("x")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.union(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-
-
-def components(links: DataFrame, within: int = WITHIN) -> DataFrame:
-    """links (a, b) -> node, root: each node of a link with the smallest node it reaches (roots included)."""
-    e = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b"))
-    if e.count() <= within:
-        return _in_one(e)
-    print_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    e = cut(e.distinct())
-    now = print_of(e)
-    while now[0]:
-        e = cut(_small_star(_large_star(e)))
-        if (then := print_of(e)) == now:
-            break
-        now = then
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
+def _stars(links: DataFrame, buckets: int, *by: str) -> DataFrame:
+    """The links (a > b) of each bucket as stars."""
+
+    def star(_, table):
+        nodes, root = solve(table.column("a").to_numpy(), table.column("b").to_numpy())
+        return pa.table({"a": nodes[nodes != root], "b": root[nodes != root]})
+
+    return links.select("a", "b", F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(star, "a long, b long")
+
+
+def components(links: DataFrame, bucket_links: int = BUCKET_LINKS) -> DataFrame:
+    """links (a, b) -> node, root: each node of a link with the smallest node it reaches (roots included). No links give no rows."""
+    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b"))
+    buckets = max(1, -(-links.count() // bucket_links))
+    # dealt at random first: after that no node has more links than there are buckets, however many it came with
+    links = _stars(links, buckets, "a", "b")
+    moved = True
+    while moved:
+        # a node's centres: no more than there are buckets
+        centres = _stars(links, buckets, "a").groupBy("a").agg(F.collect_set("b").alias("s")).select("a", "s", F.array_min("s").alias("m"))
+        joined = F.transform("s", lambda x: F.when(x == F.col("m"), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))).otherwise(F.struct(x.alias("a"), F.col("m").alias("b"))))
+        links = centres.select(F.explode(joined).alias("l"), (F.size("s") > 1).alias("several")).select("l.a", "l.b", "several")
+        jump = centres.select(F.col("a").alias("x"), F.col("m").alias("y"))
+        links = links.join(jump, F.col("b") == F.col("x"), "left").select("a", F.coalesce("y", "b").alias("b"), (F.col("several") | F.col("y").isNotNull()).alias("moved"))
+        links = cut(links)
+        moved = bool(links.agg(F.max("moved")).first()[0])
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())

@@ -11,7 +11,8 @@ Exact at any size, and no step lists the pairs of a group:
     enough (or bridged by others), fall into one block.
 3.  Each block's sets are stored in a trie and joined by walking it (trie.py). A large block is
     dealt into shards; shards are joined within, then representatives of what they found, then
-    only documents outside the block's main component against every shard.
+    only documents outside the block's main component, each against the shards that hold an
+    n-gram of its prefix.
 4.  Links, a spanning forest of the classes, become components.
 """
 
@@ -48,12 +49,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A flush in some 64 batches, or of 64 rows each: with many buckets rows are many and small."""
+    step = max(64, len(rows) // 64)
+    for i in range(0, len(rows), step):
+        yield _batch(rows[i : i + step])
+
+
 def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)])
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return ((tokens >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+    """Of the upper 32 bits; the lower 32 tell n-grams of a bucket apart."""
+    return ((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -109,7 +118,7 @@ def _sizes(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
             twice = _within(grams, again)
             local = np.bincount(doc[twice], minlength=len(sets)).astype(np.uint32)
             grams, doc = grams[~twice], doc[~twice]
-            bucket = _bucket(grams, buckets).astype(np.uint16)
+            bucket = _bucket(grams, buckets).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")  # by document within a bucket, which compresses well
             low, doc, many = (grams[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc[order], dict(_runs(_bucket(again, buckets)))
             once = dict(_runs(bucket[order]))
@@ -118,8 +127,7 @@ def _sizes(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
             for k in sorted(once.keys() | many.keys()):
                 x, y = once.get(k, slice(0, 0)), many.get(k, slice(0, 0))
                 rows.append((k, uid, low[x].tobytes(), doc[x].tobytes(), low_again[y].tobytes()))
-            for i in range(0, len(rows), 64):
-                yield _batch(rows[i : i + 64])
+            yield from _batches(rows)
 
     def count(key, table):
         if key[0].as_py() < 0:
@@ -182,23 +190,28 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.filter("id IS NOT NULL").mapInArrow(choose, "id long, text string").join(ids, "id")
 
 
-def _block_links(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
-    """Links (a, b) whose components hold all linked pairs: blocks."""
+def _stars(tokens: np.ndarray, low: np.ndarray, high: np.ndarray, hub: np.ndarray, percent: int):
+    """Of each token's intervals of sizes, those that overlap once widened to compatible sizes: (token, low, high, hub) of each run, and links to its hub."""
+    order = np.lexsort((low, tokens))
+    tokens, low, high, hub = tokens[order], low[order], high[order], hub[order]
+    _, group = np.unique(tokens, return_inverse=True)
+    # the largest size so far of the same token: sizes are below 2**40
+    reach = np.maximum.accumulate((group << 40) + high)
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (low[1:] * percent > (reach[:-1] - (group[:-1] << 40)) * 100)
+    at = np.flatnonzero(new)
+    least = np.minimum.reduceat(hub, at)
+    of = np.repeat(least, np.diff([*at.tolist(), len(tokens)]))
+    pairs = np.unique(np.stack([hub, of], 1)[hub != of], axis=0)
+    return (tokens[at], low[at], np.maximum.reduceat(high, at), least), pairs
+
 
-    def stars(tokens: np.ndarray, low: np.ndarray, high: np.ndarray, hub: np.ndarray):
-        """Of each token's intervals of sizes, those that overlap once widened to compatible sizes: (token, low, high, hub) of each run, and links to its hub."""
-        order = np.lexsort((low, tokens))
-        tokens, low, high, hub = tokens[order], low[order], high[order], hub[order]
-        _, group = np.unique(tokens, return_inverse=True)
-        # the largest size so far of the same token: sizes are below 2**40
-        reach = np.maximum.accumulate((group << 40) + high)
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (low[1:] * percent > (reach[:-1] - (group[:-1] << 40)) * 100)
-        at = np.flatnonzero(new)
-        least = np.minimum.reduceat(hub, at)
-        of = np.repeat(least, np.diff([*at.tolist(), len(tokens)]))
-        pairs = np.unique(np.stack([hub, of], 1)[hub != of], axis=0)
-        return (tokens[at], low[at], np.maximum.reduceat(high, at), least), pairs
+def _posted(docs: DataFrame, buckets: int, n: int, percent: int, post) -> DataFrame:
+    """The rows that ``post(uid, ids, sizes, tokens, doc)`` makes of the prefixes of each run of documents.
+
+    The global order is that of these documents: n-grams of fewer documents first, then by hash.
+    Prefixes leave out n-grams of one document only.
+    """
 
     def deal(batches):
         for uid, ids, _, sets in _flushes(batches, n, 1 << 30, BUCKET):
@@ -207,8 +220,7 @@ def _block_links(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFra
             rows = [(-1, uid, np.concatenate([ids, sizes]).astype(np.int64).tobytes(), inverse.astype(np.uint32).tobytes(), tokens.tobytes())]
             for k, at in _runs(_bucket(tokens, buckets)):
                 rows.append((k, uid, (tokens[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), counts[at].astype(np.uint32).tobytes(), b""))
-            for i in range(0, len(rows), 64):
-                yield _batch(rows[i : i + 64])
+            yield from _batches(rows)
 
     def count(key, table):
         if key[0].as_py() < 0:
@@ -239,12 +251,23 @@ def _block_links(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFra
             doc.append(np.full(len(first), i))
             at += size
         chosen, doc = np.concatenate(chosen), np.concatenate(doc)
-        if not len(chosen):
+        return post(key[0].as_py(), ids, sizes, tokens[chosen], doc.astype(np.int64))
+
+    group = F.when(F.col("key") < 0, -1 - F.col("uid")).otherwise(F.col("key"))
+    counted = docs.mapInArrow(deal, _ROWS).withColumn("group", group).groupBy("group").applyInArrow(count, _ROWS)
+    return counted.groupBy("uid").applyInArrow(prefixes, _ROWS)
+
+
+def _block_links(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
+    """Links (a, b) whose components hold all linked pairs: blocks."""
+
+    def post(uid, ids, sizes, tokens, doc):
+        if not len(tokens):
             return _table([])
-        (token, low, high, hub), pairs = stars(tokens[chosen], sizes[doc], sizes[doc], ids[doc])
-        rows = [(-1, uid_, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), b"")] if (uid_ := key[0].as_py()) is not None and len(pairs) else []
-        for k, at_ in _runs(_bucket(token, buckets)):
-            rows.append((k, uid_, token[at_].tobytes(), np.concatenate([low[at_], high[at_]]).tobytes(), hub[at_].tobytes()))
+        (token, low, high, hub), pairs = _stars(tokens, sizes[doc], sizes[doc], ids[doc], percent)
+        rows = [(-1, uid, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), b"")] if len(pairs) else []
+        for k, at in _runs(_bucket(token, buckets)):
+            rows.append((k, uid, token[at].tobytes(), np.concatenate([low[at], high[at]]).tobytes(), hub[at].tobytes()))
         return _table(rows)
 
     def meet(key, table):
@@ -253,13 +276,25 @@ def _block_links(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFra
             pairs = np.stack([np.frombuffer(b"".join(a), np.int64), np.frombuffer(b"".join(b), np.int64)], 1)
         else:
             low, high = zip(*(np.split(np.frombuffer(x, np.int64), 2) for x in b), strict=True)
-            _, pairs = stars(np.frombuffer(b"".join(a), np.uint64), np.concatenate(low), np.concatenate(high), np.frombuffer(b"".join(c), np.int64))
+            _, pairs = _stars(np.frombuffer(b"".join(a), np.uint64), np.concatenate(low), np.concatenate(high), np.frombuffer(b"".join(c), np.int64), percent)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     group = F.when(F.col("key") < 0, -1 - F.col("uid")).otherwise(F.col("key"))
-    counted = docs.mapInArrow(deal, _ROWS).withColumn("group", group).groupBy("group").applyInArrow(count, _ROWS)
-    posted = counted.groupBy("uid").applyInArrow(prefixes, _ROWS).withColumn("group", group)
-    return posted.groupBy("group").applyInArrow(meet, "a long, b long")
+    return _posted(docs, buckets, n, percent, post).withColumn("group", group).groupBy("group").applyInArrow(meet, "a long, b long")
+
+
+def _prefix_tokens(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
+    """(id, token): the n-grams of each document's prefix. Two linked documents have one in common."""
+
+    def post(uid, ids, sizes, tokens, doc):
+        return _table([(0, uid, ids[doc].tobytes(), tokens.tobytes(), b"")])
+
+    def rows(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (a, b)], names=["id", "token"])
+
+    return _posted(docs, buckets, n, percent, post).select("a", "b").mapInArrow(rows, "id long, token long")
 
 
 def _joined(docs: DataFrame, keys: list[str], n: int, percent: int) -> DataFrame:
@@ -307,17 +342,19 @@ def _large(docs: DataFrame, n: int, percent: int) -> DataFrame:
     label = docs.select("id", "block", "n", "shards").join(root, F.col("id") == F.col("node"), "left").select("id", "block", "shards", F.coalesce("root", "id").alias("component"))
     main = label.groupBy("block", "component").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
     label = cut(label.join(main, "block").withColumn("probe", F.col("component") != F.col("main")))
-    minors = label.filter("probe")
-    chunk = minors.groupBy("block").agg(F.count("*").alias("m")).select("block", F.ceil(F.col("m") / MINORS).alias("chunks"))
-    if chunk.isEmpty():
+    if label.filter("probe").isEmpty():
         return links
-    text = docs.select(F.col("id").alias("i"), "text", "shard")
-    label = label.join(chunk, "block").join(text, F.col("id") == F.col("i")).select("id", "block", "shards", "shard", "chunks", "component", "probe", "text")
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    held = label.select("id", "text", "block", "component", F.lit(False).alias("probe"), "shard", at.alias("chunk"))
-    asked = label.filter("probe").select("id", "text", "block", "component", "probe", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    asked = asked.select(*held.columns)
-    return links.union(_joined(held.union(asked), ["block", "shard", "chunk"], n, percent))
+    # only shards that hold an n-gram of its prefix can hold a document linked with it
+    held = docs.select(F.col("id").alias("i"), "text", "shard").join(label, F.col("i") == F.col("id")).drop("i", "shards")
+    grams = docs.agg(F.sum("n")).first()[0] or 0
+    token = cut(_prefix_tokens(docs.select("id", "text"), _buckets(grams), n, percent).join(held.select(F.col("id").alias("i"), "block", "shard", "probe"), F.col("id") == F.col("i")).drop("i"))
+    route = token.filter("probe").select("id", "block", "token").join(token.select("block", "token", "shard").distinct(), ["block", "token"]).select("id", "shard").distinct()
+    asked = cut(held.filter("probe").drop("shard").join(route, "id"))
+    chunk = asked.groupBy("block", "shard").agg(F.ceil(F.count("*") / MINORS).alias("chunks"))
+    asked = asked.join(chunk, ["block", "shard"]).withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("chunks")))
+    held = held.withColumn("probe", F.lit(False)).join(chunk, ["block", "shard"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    names = ["id", "text", "block", "component", "probe", "shard", "chunk"]
+    return links.union(_joined(held.select(*names).union(asked.select(*names)), ["block", "shard", "chunk"], n, percent))
 
 
 def _shards(docs: str, grams: str):
@@ -363,4 +400,4 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _buckets(grams: int) -> int:
-    return int(min(65_000, max(4, -(-grams // BUCKET))))
+    return int(max(4, -(-grams // BUCKET)))

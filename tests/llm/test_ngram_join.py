@@ -68,6 +68,16 @@ def test_join(spark, shard, monkeypatch):
     assert max(Counter(w[2] for w in want if w[2] is not None).values()) > 10
 
 
+def test_many_buckets(spark, monkeypatch):
+    """More buckets than 16 bits number, and documents outside a block's main component in several chunks."""
+    monkeypatch.setattr(ngram_join, "_buckets", lambda grams: 100_000)
+    monkeypatch.setattr(ngram_join, "SHARD_DOCS", 4)
+    monkeypatch.setattr(ngram_join, "MINORS", 2)
+    rows = near([(r[0], r[1]) for r in samples.rows() if len(r[1] or "") < 5000], random.Random(5))
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows)
+
+
 def test_empty(spark):
     assert ngram_join.ngram_join(samples.empty(spark)).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame([(1, None), (2, " ")], "doc_id bigint, text string")).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
@@ -96,11 +106,15 @@ def test_shingles_agree_with_words():
             assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
 
 
-@pytest.mark.parametrize("within", [0, 1000])
-def test_components(spark, within):
+@pytest.mark.parametrize("bucket_links", [4, 30, 1000])
+def test_components(spark, bucket_links):
     r = random.Random(2)
-    pairs = [(r.randrange(90), r.randrange(90)) for _ in range(50)] + [(i, i + 1) for i in range(200, 240)]
-    got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long"), within).collect()))
+    pairs = [(r.randrange(90), r.randrange(90)) for _ in range(50)] + [(i, i + 1) for i in range(200, 260)]  # a chain
+    pairs += [(500, 600 + i) for i in range(80)] + [(900, 700 + i) for i in range(80)] + [(900, 500), (650, 650)] * 3  # stars around the smallest and the largest
+    r.shuffle(pairs)
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    got = components(frame, bucket_links).collect()
     a, b = zip(*[p for p in pairs if p[0] != p[1]], strict=True)
-    assert got == dict(zip(*(x.tolist() for x in solve(np.array(a), np.array(b))), strict=True))
-    assert components(spark.createDataFrame([], "a long, b long"), within).count() == 0
+    want = dict(zip(*(x.tolist() for x in solve(np.array(a), np.array(b))), strict=True))
+    assert dict(map(tuple, got)) == want and len(got) == len(want)
+    assert components(spark.createDataFrame([], "a long, b long"), bucket_links).count() == 0
