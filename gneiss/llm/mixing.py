@@ -4,7 +4,8 @@ Each source's weight schedule over training time [0, 1] is integrated; a documen
 its source's stream of words is turned into a training position by inverting that cumulative
 demand; rows are then range-sorted by position. A source's stream is ordered by a hash of the
 document id, and its running sums come in two levels (buckets of hashes, then rows within a
-bucket), so no task holds a whole source.
+bucket), so no task holds a whole source. A bucket that an often repeated id makes heavy is dealt
+into finer ones.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, put
+from .common import WORD, cut, row_print
 
 #: (weight at the start, weight at the end) of the linear schedule, by weight class; each averages 1.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 MAX_REPEAT = 3
-#: About so many rows share a bucket of hashes within a source.
-BUCKET_ROWS = 20_000
+#: About so many rows share a bucket of hashes within a source; a bucket with HEAVY times as many is split.
+BUCKET_ROWS, HEAVY = 20_000, 8
 
 
 def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -52,7 +53,7 @@ def position_of(share: Column, start: Column, end: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeat: int = MAX_REPEAT, schedules: tuple = SCHEDULES) -> DataFrame:
-    """Per row of ``docs``: id, finger (of the text), size, source_size, target, taken, and ``passes``.
+    """Per row of ``docs``: id, finger (of the text), row (fingerprint of all columns), size, source_size, target, taken, and ``passes``.
 
     ``passes`` lists for each time the mix takes the document its training position and the
     words taken. A source's rows are taken in the order of a hash of the id, again from the
@@ -60,24 +61,35 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     So a source takes its target to the word, a document at most max_repeat times its size.
 
     Null text has size 0 and is never taken. Null sources form one source, ranked last. A null
-    id hashes as an empty one. Repeated rows are taken one by one. An empty table gives no rows.
+    id hashes as an empty one. Repeated rows are taken one by one, rows that repeat an id in the
+    order of their sizes and fingerprints. Texts of any length are counted whole. Columns beside
+    id, text and source only enter ``row``, whatever their names. An empty table gives no rows.
     """
     text = F.col(text_col)
     sized = cut(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("finger"),
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("finger"), row_print(docs).alias("row"), F.monotonically_increasing_id().alias("nth"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("turn"),
         )
     )
     digits = max(1, min(6, len(f"{sized.count() // BUCKET_ROWS:x}")))
     sized = sized.withColumn("bucket", F.substring("turn", 1, digits))
+    # rows of one id part by their fingerprints; wholly equal rows, which may take any turn of theirs, by their number
+    for finer in ((F.col("turn"), F.pmod(F.xxhash64("row"), F.col("parts"))), (F.hex("row"), F.pmod(F.xxhash64("nth"), F.col("parts")))):
+        # each holds HEAVY * BUCKET_ROWS rows at least, so they are few against the rows
+        heavy = cut(sized.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.ceil(F.count("*") / BUCKET_ROWS).alias("parts")).filter(F.col("parts") > HEAVY))
+        if heavy.isEmpty():
+            break
+        sized = sized.join(F.broadcast(heavy), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left")
+        finer = F.concat_ws("-", "bucket", *[x.cast("string") for x in finer])
+        sized = sized.withColumn("bucket", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(finer)).drop("s", "b", "parts")
     by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     in_order = W.partitionBy("source").orderBy("bucket")
     by_bucket = by_bucket.withColumn("before", F.sum("in_bucket").over(in_order) - F.col("in_bucket"))
     goal = source_targets(by_bucket.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), max_repeat)
     known = by_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before").join(goal.withColumnRenamed("source", "g"), F.col("s").eqNullSafe(F.col("g"))).drop("g")
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    within = W.partitionBy("source", "bucket").orderBy("turn", "id", "size", "finger").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "bucket").orderBy("turn", "id", "size", "finger", "row", "nth").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("at", F.col("before") + F.sum("size").over(within) - F.col("size"))
     goal_words = F.floor(F.col("target") + 0.5)
     start = F.element_at(F.array(*[F.lit(float(a)) for a, _ in schedules]), (F.col("rank") % len(schedules) + 1).cast("int"))
@@ -90,7 +102,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         passes.append(F.struct(position_of(share, start, end).alias("position"), words.alias("words")))
     rows = rows.withColumn("passes", F.filter(F.array(*passes), lambda x: x["words"] > 0))
     rows = rows.withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
-    return rows.select(F.col("id").alias(id_col), "finger", "size", "source_size", "target", "taken", "passes")
+    return rows.select(F.col("id").alias(id_col), "finger", "row", "size", "source_size", "target", "taken", "passes")
 
 
 def by_first_turn(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -109,19 +121,19 @@ def in_training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The documents the mix takes, a row for each time, range-sorted by training position; input columns only.
 
     The last pass over a source may stop inside a document: the row then stays if at least
-    half of its words are taken. Rows never taken are gone.
+    half of its words are taken. Rows never taken are gone. Rows that share an id, or id and
+    text, keep turns of their own; wholly equal rows are alike. An empty table gives no rows.
     """
-    mixed = mix_sources(docs, id_col, text_col, source_col, **kw)
-    taken = F.transform(F.filter("passes", lambda x: x["words"] * 2 >= F.col("size")), lambda x: x["position"])
-    turns = mixed.withColumn("id", _key(F.col(id_col))).groupBy("id", "finger").agg(F.count("*").alias("copies"), F.flatten(F.collect_list(taken)).alias("positions"))
-    turns = cut(turns.filter(F.size("positions") > 0))
-    rows = docs.withColumns({"__id": _key(F.col(id_col)), "__finger": F.xxhash64(F.col(text_col))})
-    if not turns.filter("copies > 1").isEmpty():  # of rows that repeat both id and text one carries the turns of all
-        rows = rows.dropDuplicates(["__id", "__finger"])
-    turns = turns.select(F.col("id").alias("__i"), F.col("finger").alias("__f"), F.col("positions").alias("__positions"))
-    rows = rows.join(turns.hint("shuffle_hash"), (F.col("__id") == F.col("__i")) & (F.col("__finger") == F.col("__f")))
-    rows = rows.withColumn("__position", F.explode("__positions"))
-    return rows.orderBy("__position", "__id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mix_sources(docs, id_col, text_col, source_col, **kw).withColumn("__id", _key(F.col(id_col)))
+    whole = F.filter("passes", lambda x: x["words"] * 2 >= F.col("size"))
+    turns = cut(mixed.select("__id", F.col("row").alias("__row"), F.explode(F.transform(whole, lambda x: x["position"])).alias("__position")))
+    again = cut(mixed.groupBy("__id", F.col("row").alias("__row")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    rows, key, kind = docs.withColumns({"__id": _key(F.col(id_col)), "__row": row_print(docs)}), ["__id", "__row"], "shuffle_hash"
+    if not again.isEmpty():  # of wholly equal rows one stands for all, with the turns of all
+        rows = rows.join(again, key, "left_semi").dropDuplicates(key).unionByName(rows.join(again, key, "left_anti"))
+        kind = "merge"  # which may split a key with many turns
+    rows = rows.join(turns.hint(kind), key)
+    return rows.orderBy("__position", "__id", "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _key(id_: Column) -> Column:

@@ -67,3 +67,48 @@ def test_rates_and_widths(spark):
     rows = [(i, tone(notes, *kind)) for i, kind in enumerate(kinds)] + [(9, tone(notes[::-1], 44100))]
     got = audio.align(spark.createDataFrame(rows, "rec bigint, media binary"), "rec", "media").collect()
     assert sorted(r["match_id"] for r in got) == [1, 2, 3, 4] and all(r["bit_error"] < 0.1 and r["offset"] == 0 for r in got)
+
+
+def test_damaged_and_silent_media_match_nothing(spark):
+    r = np.random.default_rng(11)
+    notes = r.integers(0, 24, 80).tolist()
+    good = tone(notes, 2000)
+    silent = io.BytesIO()
+    with wave.open(silent, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(2000)
+        w.writeframes(b"\0" * 20_000)
+    rate0 = good[:24] + b"\0\0\0\0" + good[28:]
+    bad = [good[:k] for k in range(0, 60, 3)] + [rate0, silent.getvalue(), b"RIFF", b"\xff" * 100]
+    for k in range(300):  # any header with a few bytes changed
+        x = bytearray(good)
+        for at in r.integers(0, 44, 3):
+            x[at] = r.integers(0, 256)
+        audio.printed(bytes(x))
+    rows = [(0, good), (50, good[:-1]), (100, silent.getvalue()), (150, silent.getvalue()), *[(1000 + i, b) for i, b in enumerate(bad)]]
+    got = audio.align(spark.createDataFrame(rows, "rec bigint, media binary"), "rec", "media").collect()
+    found = {(r["query_id"], r["match_id"]) for r in got}
+    assert {(100, None), (150, None)} <= found and all(m in (0, 50, None) for _, m in found) and len([f for f in found if f[0] in (0, 50) and f[1] is not None]) >= 2
+
+
+def test_silent_ends_are_no_match():
+    r = np.random.default_rng(12)
+    a, b = r.integers(0, 2**32, 60, np.uint32), r.integers(0, 2**32, 60, np.uint32)
+    quiet = np.full(50, audio.SILENT, np.uint32)
+    assert audio.best_offset(np.concatenate([quiet, a]), np.concatenate([b, quiet]))[1] == 0
+    assert audio.best_offset(np.concatenate([quiet, a]), np.concatenate([a, quiet]))[:2] == (-50, 60)
+
+
+def test_hot_integers(spark, monkeypatch):
+    """Recordings that all share some integers meet in several tasks, and no match is lost."""
+    monkeypatch.setattr(audio, "HOT_VALUES", 10)
+    monkeypatch.setattr(audio, "SALTS", 3)
+    r = np.random.default_rng(13)
+    intro, songs = r.integers(0, 24, 30).tolist(), [r.integers(0, 24, 60).tolist() for _ in range(12)]
+    rows = [(i * 25, tone(intro + songs[i % 12], 2000)) for i in range(12)] + [(1000 + i, tone(intro + songs[i][: 40 + i], 2000)) for i in range(12)]
+    frame = spark.createDataFrame(rows, "rec bigint, media binary")
+    prints = {i: audio.printed(m) for i, m in rows}
+    want = {(q, i) for q, p in prints.items() if q % 50 == 0 for i, o in prints.items() if i != q and audio.best_offset(p, o)[1]}
+    got = audio.align(frame, "rec", "media").collect()
+    assert {(r["query_id"], r["match_id"]) for r in got if r["match_id"] is not None} == want and len(want) > 6

@@ -123,7 +123,7 @@ def test_mixing(spark):
 def spark_row(r):
     from pyspark.sql import Row
 
-    names = ("doc_id", "finger", "size", "source_size", "target", "taken", "passes")
+    names = ("doc_id", "finger", "row", "size", "source_size", "target", "taken", "passes")
     return Row(**{n: r[n] for n in names})
 
 
@@ -142,6 +142,31 @@ def test_training_order(spark):
     assert mixing.in_training_order(samples.empty(spark)).count() == 0
 
 
+def test_rows_that_differ_elsewhere_keep_their_turns(spark):
+    rows = [(1, "one two three", "a", "x")] * 3 + [(1, "one two three", "b", "y"), (1, "one two three", None, "z"), (2, "four", "a", None), (2, "four", None, "a")] + [(i, "some words here", "c", "w") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra string")
+    got = Counter(map(tuple, mixing.in_training_order(docs).collect()))
+    want = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        want[r["doc_id"], r["size"], r["row"]] += sum(p["words"] * 2 >= r["size"] for p in r["passes"])
+    assert sorted(got.values()) == sorted(v for v in want.values() if v)
+    assert {k for k in got if k[0] < 3} == {r for r in set(rows) if r[0] < 3} and got[rows[0]] > got[rows[3]]
+
+
+def test_one_id_with_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(mixing, "HEAVY", 2)
+    rows = [(7, f"w{i % 5} " * (i % 5 + 1), "a") for i in range(200)] + [(i, "x y", f"s{i % 3}") for i in range(50)] + [(None, "n", "a")] * 60
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    want = brute_targets({"a": 660, "s0": 34, "s1": 34, "s2": 32})
+    assert len(got) == len(rows) and sum(r["taken"] for r in got) == sum(int(t + 0.5) for t in want.values())
+    assert sum(r["taken"] for r in got if r["source_size"] == 660) == int(want["a"] + 0.5) and all(r["taken"] <= 3 * r["size"] for r in got)
+    tidy = lambda out: sorted((str(r["doc_id"]), r["finger"], str(r["passes"])) for r in out)
+    assert tidy(mixing.mix_sources(docs.repartition(5)).collect()) == tidy(got)
+    assert sum(r["taken"] for r in got) > 0 and mixing.in_training_order(docs).count() > len(rows) / 2
+
+
 @pytest.mark.parametrize(("start", "end"), [(1.5, 0.5), (1.0, 1.0), (0.5, 1.5)])
 def test_positions_invert_the_integral(spark, start, end):
     df = spark.range(11).select((F.col("id") / 10).alias("share")).select("share", mixing.position_of(F.col("share"), F.lit(start), F.lit(end)).alias("t"))

@@ -70,3 +70,43 @@ def test_each_choice_is_the_smallest_sum_of_squares():
         if open_:
             assert b in gaps and cost(gaps | {b: gaps[b] - s}) == min(cost(gaps | {x: gaps[x] - s}) for x in open_)
         gaps[b] = gaps.get(b, 50) - s
+
+
+def test_sequences_follow_the_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i // 3, samples.text(i // 3, 40), i * 7) for i in range(600)], "doc_id bigint, text string, at bigint").orderBy("at")
+    docs.write.parquet(path := str(tmp_path / "ordered"))
+    stored = spark.read.parquet(path)
+    order = [r["at"] for r in stored.orderBy(packing.stored_place(stored)).collect()]
+    assert order == sorted(order)
+    # every document thrice in a row: copies lie in different sequences, all in order
+    got = packing.pack(stored, PATH, capacity=512, group=100, place=packing.stored_place(stored)).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append(r)
+    assert all(len({r["doc_id"] for r in v}) == len(v) for v in bins.values()) and max(map(len, bins.values())) > 1
+    for v in bins.values():
+        at = 0
+        for r in sorted(v, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 512
+    first = [min(r["doc_id"] for r in bins[b]) for b in sorted(bins)]
+    # a range holds some 33 documents; within it copies make up to three passes
+    assert all(b >= a - 40 for a, b in zip(first, first[1:], strict=False)) and first[0] == 0 and max(first[-30:]) > 150
+    spans = defaultdict(list)
+    for r in got:
+        spans[r["sequence_id"] >> 24].append(r["doc_id"])
+    edges = [(min(v), max(v)) for _, v in sorted(spans.items())]
+    assert len(edges) > 4 and all(a[1] <= b[0] for a, b in zip(edges, edges[1:], strict=False))
+
+
+def test_sequences_are_numbered_by_place(spark):
+    docs = spark.createDataFrame([(i, samples.text(i, 30), 1000 - i) for i in range(200)], "doc_id bigint, text string, at bigint")
+    from pyspark.sql import functions as F
+
+    got = packing.pack(docs, PATH, capacity=512, place=F.col("at")).collect()
+    first = defaultdict(lambda: 10**9)
+    for r in got:
+        first[r["sequence_id"]] = min(first[r["sequence_id"]], 1000 - r["doc_id"])
+    at = [first[b] for b in sorted(first)]
+    assert at == sorted(at) and len(at) > 10

@@ -63,6 +63,8 @@ def test_mix_and_pack(stages):
     for r in mixed:
         want[r["doc_id"]] += len(memo.of(r["text"])) // 4
     assert whole == want
+    together = [(r["sequence_id"], r["doc_id"]) for r in packed if r["length"] < packing.CAPACITY]
+    assert len(together) == len(set(together)) and len(packed) > len({r["doc_id"] for r in packed})  # copies, but never side by side
 
 
 def test_run_is_its_stages(spark, stages):
