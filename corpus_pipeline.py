@@ -2,16 +2,17 @@
 
 Every stage works on all that the one before it kept; all but the last return the columns of
 documents. ``run`` writes each stage's rows to the shared folder and reads them again, so a lost
-executor costs one stage at most.
+executor costs one stage at most; a stage's folder goes once the next is written.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from gneiss.llm.common import shared_path, table
+from gneiss.llm.common import cut, remove, row_print, shared_path, table
 from gneiss.llm.queries import tokenizer_path
 
 
@@ -32,11 +33,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; documents without words and null ids stay."""
     found = ngram_join.ngram_join(docs)
-    keep = found.filter("component_id = doc_id").groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows"))
-    rows = docs
-    if not keep.filter("rows > 1").isEmpty():  # rows that repeat an id are one document
-        rows = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL"))
-    kept = rows.join(keep.select("kept").hint("shuffle_hash"), rows.doc_id == F.col("kept"), "left_semi")
+    keep = cut(found.filter("component_id = doc_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")))
+    kept = docs.join(keep.select("__kept").hint("shuffle_hash"), docs.doc_id == F.col("__kept"), "left_semi")
+    if not (again := keep.filter("__rows > 1").select("__kept")).isEmpty():  # rows that repeat an id are one document: that with the least fingerprint
+        repeated = kept.join(again, kept.doc_id == again["__kept"], "left_semi")
+        least = repeated.groupBy(F.col("doc_id").alias("__kept")).agg(F.min(row_print(docs)).alias("__least"))
+        repeated = repeated.join(least, (F.col("doc_id") == F.col("__kept")) & (row_print(docs) == F.col("__least")), "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, kept.doc_id == again["__kept"], "left_anti").unionByName(repeated)
     return kept.union(docs.filter("doc_id IS NULL"))
 
 
@@ -46,8 +49,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces placed in sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces placed in sequences, along the order in which the stage before wrote its rows.
+
+    The columns of documents hold no position, but files and their rows are in order of it. Rows
+    that come from no file have no order.
+    """
+    try:
+        place = packing.stored_place(docs)
+    except AnalysisException:
+        place = None
+    return packing.pack(docs, tokenizer_path(), place=place)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_join", drop_near_duplicates), ("mixing", mix), ("packing", pack)]
@@ -57,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(path := shared_path(spark, f"pipeline-{name}"))
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
