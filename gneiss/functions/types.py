@@ -25,6 +25,14 @@ _SPARK = {
 }
 
 
+if hasattr(T, "TimeType"):  # Spark 4.1 and later
+    _SPARK[T.TimeType] = (92, "TIME")
+
+
+def is_time_of_day(kind: T.DataType) -> bool:
+    return hasattr(T, "TimeType") and isinstance(kind, T.TimeType)
+
+
 def family_of(jdbc_type: int) -> str:
     return JDBC_FAMILIES.get(jdbc_type, OTHER)
 

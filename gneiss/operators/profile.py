@@ -37,27 +37,24 @@ def _sums(counts: DataFrame, infos: list[ColumnInfo], options: ProfileOptions) -
     """A row per column: sums of its cells, and its extremes as canonical texts."""
     held = is_profiled()
     finite = F.when(~F.isnan("real") & (F.abs("real") != float("inf")), F.col("real"))
-    decimals = [i.ordinal for i in infos if isinstance(i.kind, T.DecimalType)]
-    # as wide as the table's decimals need
-    exact = F.when(F.col("ordinal").isin(decimals), F.col("text")).try_cast(_widest(infos))
-    native = {"whole": F.col("whole"), "real": finite, "time": F.col("time"), "exact": exact}
+    native = {"whole": F.col("whole"), "real": finite, "time": F.col("time")}
+    # decimals compare as their own type: no other type holds all digits of two of them
+    exact = {f"exact_{k.precision}_{k.scale}": k for k in {i.kind for i in infos if isinstance(i.kind, T.DecimalType)}}
+    of = lambda wanted: F.when(F.col("ordinal").isin([i.ordinal for i in infos if wanted(i.kind)]), F.col("text"))
+    native |= {name: of(lambda x, k=k: x == k).try_cast(k) for name, k in exact.items()}
+    # texts of times of day are in order
+    native["clock"] = of(ty.is_time_of_day)
     df = counts.groupBy("ordinal").agg(
         F.sum("n").alias("rows"), *[F.sum(c).alias(c) for c in ("nulls", "blanks", "semantic", "trimmed", "len_n", "len_sum")], F.min("len_min").alias("len_min"), F.max("len_max").alias("len_max"),
         F.count_if(held).alias("distinct"), F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0)).alias("profiled"),
         *[f(x).alias(f"{k}_{side}") for k, x in native.items() for side, f in (("min", F.min), ("max", F.max))],
     )
     for side in ("min", "max"):
-        text = F.coalesce(F.col(f"whole_{side}").cast("string"), cn.double_text(F.col(f"real_{side}")), time_text(F.col(f"time_{side}"), infos), cn.strip_zeros(F.col(f"exact_{side}").cast("string")))
+        text = F.coalesce(F.col(f"whole_{side}").cast("string"), cn.double_text(F.col(f"real_{side}")), time_text(F.col(f"time_{side}"), infos), F.col(f"clock_{side}"), *[cn.strip_zeros(F.col(f"{name}_{side}").cast("string")) for name in sorted(exact)])
         df = df.withColumn(f"{side}_value", text if options.range_enabled else F.lit(None).cast("string"))
     return df
 
 
-def _widest(infos: list[ColumnInfo]) -> str:
-    kinds = [i.kind for i in infos if isinstance(i.kind, T.DecimalType)]
-    scale = max((k.scale for k in kinds), default=0)
-    return f"decimal({min(38, max((k.precision - k.scale for k in kinds), default=1) + scale)},{scale})"
-
-
 def top_values(counts: DataFrame, sums: DataFrame, options: ProfileOptions) -> DataFrame:
     """ordinal, values: of columns within the tracking limit, all values up to the enum threshold, else the most frequent."""
     few = sums.filter(F.col("distinct").between(1, options.low_cardinality_tracking_limit)).select(F.col("ordinal").alias("o"), "distinct", "profiled")

@@ -31,6 +31,8 @@ TABLES = {
     "documents": "doc_id:i text:s lang:s source:s n_chars:i",
     "conversations": "conv_id:i turn:i role:s text:s",
     "labels": "doc_id:i quality:i toxic:i",
+    "pages": "page_id:i url:s html:s",
+    "benchmark": "item_id:i text:s",
 }
 #: Projections with missing, untrimmed, differently cased, constant and nearly constant values, the same in both engines.
 DIRTY = {
@@ -78,8 +80,22 @@ _FIELDS = (
 ).split()
 
 
+#: Fields that ask for a metric of the options.
+_NEEDS = {
+    "distinct_enabled": {"distinct_count", "uniqueness", "candidate_primary_key", "constant", "potential_enum", "low_cardinality", "quasi_constant", "value_text"},
+    "value_frequency_enabled": {"low_cardinality", "quasi_constant", "value_text"},
+    "range_enabled": {"min_value", "max_value"},
+    "length_enabled": {"min_length", "max_length", "avg_length"},
+}
+
+
+def _options(fields) -> ProfileOptions:
+    """Metrics that none of the fields shows are off."""
+    return ProfileOptions(**{option: bool(needs & set(fields)) for option, needs in _NEEDS.items()})
+
+
 def _profile(spark: SparkSession, sf_dir: str, name: str, fields: tuple[str, ...] | None = None) -> DataFrame:
-    df = profile_table(_frame(spark, sf_dir, name))
+    df = profile_table(_frame(spark, sf_dir, name), _options(fields or _FIELDS))
     return df.withColumn("value_text", F.expr(_VALUE_TEXT)).select(*(fields or _FIELDS))
 
 
@@ -241,6 +257,24 @@ FROM (SELECT DISTINCT name FROM cell) LEFT JOIN sums USING (name)""",
 )
 
 
+#: Decimals of several scales, some with more digits than any one of the types could hold for all.
+_WIDE = {
+    "whole": "CAST(concat(CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END, o_orderkey, '00000000000000000000007') AS DECIMAL(38,0))",
+    "fine": "CAST(concat(CASE WHEN o_custkey % 3 = 0 THEN '-' ELSE '' END, '0.', o_custkey, '0000000000') AS DECIMAL(38,18))",
+    "price": "CAST(o_totalprice AS DECIMAL(12,2))",
+    "missing": "CASE WHEN o_orderkey < 0 THEN CAST(1 AS DECIMAL(20,5)) END",
+}
+
+
+def decimal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = from_files(spark, f"{sf_dir}/orders.parquet")
+    return profile_table(orders.selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()])).select("name", "min_value", "max_value", "distinct_count")
+
+
+_PLAIN = "regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+_query(decimal_range, " UNION ALL ".join(f"SELECT '{c}' AS name, {_PLAIN.format(x=f'min({e})')} AS min_value, {_PLAIN.format(x=f'max({e})')} AS max_value, count(DISTINCT {e}) AS distinct_count FROM orders" for c, e in _WIDE.items()))
+
+
 def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _frame(spark, sf_dir, "lineitem")
     return df.select("l_orderkey", "l_linenumber", *[cn.canonical(F.col(c), df.schema[c].dataType).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_shipdate")])
@@ -269,11 +303,12 @@ _DISTINCT_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, name,
 
 
 def set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = [F.col(c).cast("double").alias(c) for c in ("hash_sum", "second_hash_sum")]
+    """Sums as text, so that every digit is compared."""
+    sums = [F.col(c).cast("string").alias(c) for c in ("hash_sum", "second_hash_sum")]
     return _fingerprints(spark, sf_dir).select("table_name", "name", "distinct_count", "hash_xor", *sums)
 
 
-_query(set_fingerprint, f"SELECT table_name, name, count(*) AS distinct_count, bit_xor({_H}) AS hash_xor, sum({_H}::HUGEINT)::DOUBLE AS hash_sum, sum({_H2}::HUGEINT)::DOUBLE AS second_hash_sum FROM ({_DISTINCT_SQL}) GROUP BY ALL")
+_query(set_fingerprint, f"SELECT table_name, name, count(*) AS distinct_count, bit_xor({_H}) AS hash_xor, sum({_H}::HUGEINT)::VARCHAR AS hash_sum, sum({_H2}::HUGEINT)::VARCHAR AS second_hash_sum FROM ({_DISTINCT_SQL}) GROUP BY ALL")
 
 
 def minhash_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,13 +356,14 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a", "b", names.name_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
+_TOKENS_SQL = """norm AS (SELECT name, regexp_replace(regexp_replace(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS x FROM n
+), tok AS (SELECT name, x, CASE WHEN len(t) = 0 THEN [x] ELSE t END AS t FROM (SELECT *, list_distinct(list_filter(string_split(x, '_'), lambda p: p NOT IN ('', 'id', 'code', 'no', 'key'))) AS t FROM norm))"""
+_NAMED_SQL = """CASE WHEN a.x = b.x THEN 1.0::DOUBLE WHEN ends_with(a.x, b.x) OR ends_with(b.x, a.x) THEN greatest(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 0.6::DOUBLE)
+  ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END"""
 _query(
     name_similarity,
-    f"""WITH n AS (SELECT unnest([{", ".join(f"'{x}'" for x in _NAMES)}]) AS name
-), norm AS (SELECT name, regexp_replace(regexp_replace(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS x FROM n
-), tok AS (SELECT name, x, CASE WHEN len(t) = 0 THEN [x] ELSE t END AS t FROM (SELECT *, list_distinct(list_filter(string_split(x, '_'), lambda p: p NOT IN ('', 'id', 'code', 'no', 'key'))) AS t FROM norm))
-SELECT a.name AS a, b.name AS b, CASE WHEN a.x = b.x THEN 1.0::DOUBLE WHEN ends_with(a.x, b.x) OR ends_with(b.x, a.x) THEN greatest(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 0.6::DOUBLE)
-  ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END AS similarity FROM tok a CROSS JOIN tok b""",
+    f"""WITH n AS (SELECT unnest([{", ".join(f"'{x}'" for x in _NAMES)}]) AS name), {_TOKENS_SQL}
+SELECT a.name AS a, b.name AS b, {_NAMED_SQL} AS similarity FROM tok a CROSS JOIN tok b""",
 )
 
 
@@ -337,8 +373,22 @@ def relationship_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kind", "left_ref", "right_ref", "similarity", "name_similarity")
 
 
-_query(relationship_candidates)
-_RUN = ("region", "nation", "supplier", "dirty_orders")
+def _related_sql(left: str, right: str) -> str:
+    """Value sets are compared as sets here, by their fingerprints there."""
+    values = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, name, value, {fam} AS family FROM ({_cells_sql(t)} SELECT name, value FROM cell WHERE value IS NOT NULL)" for t in (left, right) for fam in (f"CASE {' '.join(f"""WHEN name = '{c}' THEN '{ {"i": ty.NUMBER, "d": ty.NUMBER, "t": ty.DATE_TIME, "s": ty.STRING}[k] }'""" for c, k in _columns(t))} END",))
+    return f"""SELECT * FROM (WITH v AS ({values}), n AS (SELECT DISTINCT name FROM v), {_TOKENS_SQL},
+c AS (SELECT table_name, name, family, list(DISTINCT value ORDER BY value) AS held, count(*) AS n FROM v GROUP BY ALL),
+bins AS (SELECT table_name, name, {_H} % 32 AS bin, min({_H} // 32) AS rank FROM v GROUP BY ALL),
+p AS (SELECT l.name AS ln, r.name AS rn, l.n AS n, l.held = r.held AS same, {_NAMED_SQL} AS name_similarity,
+    (SELECT count(*) FROM bins x JOIN bins y ON x.bin = y.bin AND x.rank = y.rank WHERE x.table_name = '{left}' AND y.table_name = '{right}' AND x.name = l.name AND y.name = r.name)
+    / (SELECT count(DISTINCT bin) FROM bins z WHERE (z.table_name = '{left}' AND z.name = l.name) OR (z.table_name = '{right}' AND z.name = r.name)) AS near
+  FROM c l JOIN c r ON l.table_name = '{left}' AND r.table_name = '{right}' AND l.family = r.family JOIN tok a ON a.name = l.name JOIN tok b ON b.name = r.name)
+SELECT CASE WHEN same AND n <= 100 THEN 'SHARED_DICTIONARY' WHEN same THEN 'SAME_VALUE_DOMAIN' ELSE 'POTENTIAL_RELATION' END AS kind, '{left}.' || ln AS left_ref, '{right}.' || rn AS right_ref,
+  CASE WHEN same THEN 1.0::DOUBLE ELSE near END AS similarity, name_similarity FROM p WHERE same OR (near >= 0.45 AND name_similarity >= 0.2))"""
+
+
+_query(relationship_candidates, f"{_related_sql('customer', 'nation')} UNION ALL {_related_sql('supplier', 'customer')}")
+_RUN = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "labels", "dirty_orders", "dirty_customer")
 
 
 def _run_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,14 +417,24 @@ def table_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 _query(table_overview, _TABLE_SQL)
 
 
+def _percent_sql(x: str) -> str:
+    """Two digits, halves away from zero."""
+    return f"CAST(round(CAST(({x}) * 100 AS DECIMAL(38,12)), 2) AS DECIMAL(38,2))::VARCHAR || '%'"
+
+
+# value_text has v=n parts; a share is of the profiled cells
+_VALUES_SQL = f"array_to_string(list_transform(string_split(value_text, '|'), lambda v: array_to_string(string_split(v, '=')[:-2], '=') || '(' || string_split(v, '=')[-1] || ', ' || {_percent_sql("CAST(string_split(v, '=')[-1] AS DOUBLE) / (non_null_count - blank_count - semantic_null_count)")} || ')'), '; ')"
+
+
 def insight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.insight_rows(_run_profiles(spark, sf_dir)).filter("insight <> '潜在枚举'").select("table_name", "name", "insight", "detail")
+    return api.insight_rows(_run_profiles(spark, sf_dir)).select("table_name", "name", "insight", "detail")
 
 
 _query(
     insight_rows,
     f"""WITH p AS ({_RUN_SQL})
 SELECT table_name, name, '候选唯一键' AS insight, '非空且唯一率=' || printf('%.2f%%', uniqueness * 100) AS detail FROM p WHERE candidate_primary_key
+UNION ALL SELECT table_name, name, '潜在枚举', {_VALUES_SQL} FROM p WHERE potential_enum
 UNION ALL SELECT table_name, name, '常量字段', 'Distinct=1, value=' || split_part(value_text, '=', 1) FROM p WHERE constant
 UNION ALL SELECT table_name, name, '准常量字段', '值高度集中' FROM p WHERE quasi_constant AND NOT constant""",
 )
@@ -387,14 +447,25 @@ def enum_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("name", texts.value_summary(F.col("values")).alias("values_text"), texts.length_summary(F.col("min_length"), F.col("max_length"), F.col("avg_length")).alias("lengths_text"), texts.insight_summary(*flags).alias("insights_text"))
 
 
-_query(enum_insights)
+_query(
+    enum_insights,
+    f"""WITH p AS ({_profile_sql("dirty_orders")})
+SELECT name, CASE WHEN value_text = '' THEN '' ELSE {_VALUES_SQL} END AS values_text,
+  CASE WHEN min_length IS NULL THEN '' ELSE min_length || ' / ' || max_length || ' / ' || CAST(round(CAST(avg_length AS DECIMAL(38,12)), 2) AS DECIMAL(38,2)) END AS lengths_text,
+  array_to_string(list_filter([CASE WHEN potential_enum THEN '潜在枚举' END, CASE WHEN candidate_primary_key THEN '候选唯一键' END, CASE WHEN constant THEN '常量字段' END, CASE WHEN quasi_constant AND NOT constant THEN '准常量' END], lambda x: x IS NOT NULL), '；') AS insights_text FROM p""",
+)
 
 
 def type_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, ty.family_of(k)) for k in [*ty.JDBC_FAMILIES, 1111]], "jdbc_type int, family string")
 
 
-_query(type_families)
+_query(
+    type_families,
+    """SELECT jdbc_type::INTEGER AS jdbc_type, CASE WHEN jdbc_type IN (1, 12, -1) OR jdbc_type IN (-15, -9, -16) THEN 'STRING' WHEN jdbc_type BETWEEN 2 AND 8 OR jdbc_type IN (-5, -6) THEN 'NUMBER'
+  WHEN jdbc_type BETWEEN 91 AND 93 OR jdbc_type IN (2013, 2014) THEN 'DATE_TIME' WHEN jdbc_type IN (16, -7) THEN 'BOOLEAN' WHEN jdbc_type BETWEEN -4 AND -2 THEN 'BINARY' WHEN jdbc_type IN (2004, 2005, 2011) THEN 'LOB' ELSE 'OTHER' END AS family
+FROM (SELECT unnest([1, 12, -1, -15, -9, -16, -6, 5, 4, -5, 6, 7, 8, 2, 3, 91, 92, 93, 2013, 2014, 16, -7, -2, -3, -4, 2005, 2011, 2004, 1111]) AS jdbc_type)""",
+)
 
 
 def db_type_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,7 +473,7 @@ def db_type_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, i.name, ty.type_text(i.database_type_name, i.jdbc_type, i.precision, i.scale)) for t, i in infos], "table_name string, name string, type string")
 
 
-_query(db_type_text)
+_query(db_type_text, f"SELECT table_name, column_name AS name, data_type AS type FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in TABLES)})")
 
 
 def table_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,4 +481,10 @@ def table_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, r.schema, r.table) for n, r in enumerate(refs)], "nth long, schema_name string, table_name string")
 
 
-_query(table_list_parse)
+_query(
+    table_list_parse,
+    """WITH lines AS (SELECT unnest(['# comment', 'CUSTOMER', ' TEST.ORDERS ', '', 'customer', 'OTHER.AUDIT_LOG']) AS line, generate_subscripts(['', '', '', '', '', ''], 1) AS i
+), refs AS (SELECT i, CASE WHEN contains(t, '.') THEN split_part(t, '.', 1) ELSE 'TEST' END AS schema_name, CASE WHEN contains(t, '.') THEN split_part(t, '.', 2) ELSE t END AS table_name FROM (SELECT i, trim(line) AS t FROM lines) WHERE t <> '' AND NOT starts_with(t, '#')
+), firsts AS (SELECT * FROM refs QUALIFY row_number() OVER (PARTITION BY upper(schema_name), upper(table_name) ORDER BY i) = 1)
+SELECT row_number() OVER (ORDER BY i) - 1 AS nth, schema_name, table_name FROM firsts""",
+)

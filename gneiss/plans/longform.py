@@ -31,6 +31,7 @@ class ColumnInfo:
     declared_primary_key: bool
     family: str
     kind: T.DataType
+    preview: str | None = None
 
     @property
     def is_lob(self) -> bool:
@@ -49,13 +50,17 @@ class ColumnInfo:
 
 
 def column_infos(df: DataFrame, primary_keys: tuple[str, ...] = (), lobs: dict[str, str] | None = None) -> list[ColumnInfo]:
-    """The columns of a table; primary keys and LOB columns (name -> CLOB or BLOB) are the caller's to name, in any case."""
+    """The columns of a table; primary keys and LOB columns (name -> CLOB or BLOB) are the caller's to name, in any case.
+
+    A column whose metadata says ``preview_of`` is the beginning of that LOB, not a column of the table.
+    """
     keys = {k.upper() for k in primary_keys}
     lobs = {k.upper(): v for k, v in (lobs or {}).items()}
     out = []
-    for i, f in enumerate(df.schema.fields):
+    previews = {f.metadata["preview_of"]: f.name for f in df.schema.fields if "preview_of" in f.metadata}
+    for i, f in enumerate(f for f in df.schema.fields if "preview_of" not in f.metadata):
         field = T.StructField(f.name, f.dataType, f.nullable, f.metadata | ({"lob": lobs[f.name.upper()]} if f.name.upper() in lobs else {}))
-        out.append(ColumnInfo(i + 1, f.name, f.metadata.get("label", f.name), nullable=f.nullable, declared_primary_key=f.name.upper() in keys, kind=f.dataType, **ty.describe(field)))
+        out.append(ColumnInfo(i + 1, f.name, f.metadata.get("label", f.name), nullable=f.nullable, declared_primary_key=f.name.upper() in keys, kind=f.dataType, preview=previews.get(f.name), **ty.describe(field)))
     return out
 
 
@@ -75,8 +80,9 @@ def _cell(info: ColumnInfo, options: ProfileOptions) -> dict[str, Column | None]
         held = c.isNotNull()
         # a number in place of a large object is its length, computed where the object is
         length = c if isinstance(info.kind, T.IntegralType) else F.when(held, cn.utf16_length(c) if text else F.octet_length(c))
-        if options.pattern_profile_enabled and options.clob_preview_chars and text:
-            preview = F.when(held & (c != ""), F.substring(c, 1, options.clob_preview_chars))
+        start = F.col(f"`{info.preview}`") if info.preview else c if text else None
+        if options.pattern_profile_enabled and options.clob_preview_chars and start is not None:
+            preview = F.when(held & (start != ""), F.substring(start, 1, options.clob_preview_chars))
     elif text:
         trimmed = cn.trim(c) if options.trim_strings else c
         blank = trimmed == ""
@@ -84,6 +90,8 @@ def _cell(info: ColumnInfo, options: ProfileOptions) -> dict[str, Column | None]
         changed = c != trimmed
         held = ~blank & ~semantic
         value, length = F.when(held, trimmed), F.when(held, cn.utf16_length(c))
+    elif info.ranged and not (options.distinct_enabled or options.range_enabled):
+        value = F.when(c.isNotNull(), F.lit(""))  # only whether there is one counts
     elif info.ranged:
         # a float is the number its text says, not the nearest double of its bits
         native[info.ranged] = c.cast("string").cast("double") if isinstance(info.kind, T.FloatType) else c

@@ -6,7 +6,7 @@ from html import escape
 from pathlib import Path
 
 from . import report_texts as rt
-from .store import file_part
+from .store import file_name
 
 INDEX, PAGES = "quality-profile.html", "quality-profile-tables"
 _STYLE = """
@@ -35,7 +35,9 @@ def display_name(r: dict) -> str:
 
 
 def page_name(r: dict) -> str:
-    return f"{file_part(r['schema'], 'DEFAULT')}.{file_part(r['table'], 'UNKNOWN')}.html"
+    """After the record's file, so that tables with like names have pages of their own."""
+    own = r.get("recordFile") or file_name(r["schema"], r["table"])
+    return own.removesuffix(".json") + ".html"
 
 
 def index_page(manifest: dict, records: list[dict]) -> str:
@@ -62,7 +64,7 @@ def table_page(r: dict) -> str:
         values = "".join(f'<div>{_e(v.get("value", "<NULL>"))} <span class="muted">({v["count"]}, {rt.percent(v["ratio"])})</span></div>' for v in c["values"])
         length = f"最小：{c['minLength']}<br>最大：{c['maxLength']}<br>平均：{c['avgLength']:.2f}" if c.get("avgLength") is not None else ""
         cells = [
-            f"<b>{_e(c['name'])}</b>", _e(rt.db_type(c)), "是" if c["declaredPrimaryKey"] else "", f"数量：{c['nullCount']}<br>比例：{rt.percent(c['nullRate'])}", f"空串：{c['blankCount']}<br>语义空：{c['semanticNullCount']}",
+            f"<b>{_e(c['name'])}</b>", _e(c["databaseTypeName"]), "是" if c["declaredPrimaryKey"] else "", f"数量：{c['nullCount']}<br>比例：{rt.percent(c['nullRate'])}", f"空串：{c['blankCount']}<br>语义空：{c['semanticNullCount']}",
             f"Distinct：{c['distinctCount']}<br>唯一率：{rt.percent(c['uniqueness'])}", f"Min：{_e(c.get('minValue'))}<br>Max：{_e(c.get('maxValue'))}", length, tags, f'<div class="values">{values}</div>',
         ]
         rows += "<tr>" + "".join(f"<td>{x}</td>" for x in cells) + "</tr>"

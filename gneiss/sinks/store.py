@@ -66,8 +66,13 @@ class RunStore:
         return path
 
     def read_table(self, schema: str, table: str) -> dict:
-        return json.loads((self.directory / "tables" / file_name(schema, table)).read_text(encoding="utf-8"))
+        """By the manifest, which knows the file; without an entry there, by the name."""
+        manifest = self.read_manifest() if (self.directory / "manifest.json").exists() else {}
+        names = [t["recordFile"] for t in manifest.get("tables", []) if (t["schema"], t["table"]) == (schema, table) and "recordFile" in t]
+        path = self.directory / (names[-1] if names else f"tables/{file_name(schema, table)}")
+        return json.loads(path.read_text(encoding="utf-8"))
 
     def read_tables(self) -> list[dict]:
+        """All records, each with the name of its file as ``recordFile``."""
         files = sorted((self.directory / "tables").glob("*.json"), key=lambda p: p.name.lower())
-        return [json.loads(p.read_text(encoding="utf-8")) for p in files]
+        return [json.loads(p.read_text(encoding="utf-8")) | {"recordFile": p.name} for p in files]

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 import re
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import ProfileOptions
 
+_LOG = logging.getLogger(__name__)
+# Type codes of large objects.
+LOB_KINDS = {2005: "CLOB", 2011: "NCLOB", 2004: "BLOB"}
 _SAFE = re.compile(r"[A-Za-z0-9_$#]+")
 
 
@@ -49,7 +55,10 @@ def from_rows(spark: SparkSession, rows: list, schema) -> DataFrame:
 
 @dataclass(frozen=True)
 class JdbcSource:
-    """A database. LOB columns are named by the caller: their lengths, and a preview if asked for, are computed there, and bodies never travel."""
+    """A database. Of LOB columns lengths, and a preview if asked for, are computed there, and bodies never travel.
+
+    Which columns are LOBs the driver's metadata says, unless the caller does.
+    """
 
     url: str
     driver: str | None = None
@@ -82,26 +91,54 @@ class JdbcSource:
             out |= {"partitionColumn": self.partition_column, "lowerBound": str(self.bounds[0]), "upperBound": str(self.bounds[1]), "numPartitions": str(self.partitions)}
         return out
 
-    def read(self, spark: SparkSession, ref: TableRef, profile: ProfileOptions, **kw) -> DataFrame:
-        return spark.read.format("jdbc").options(**self.options(ref, profile, **kw)).load()
+    def read(self, spark: SparkSession, ref: TableRef, profile: ProfileOptions, columns: list[str] | None = None, lobs: dict[str, str] | None = None) -> DataFrame:
+        """The table; LOB columns hold their lengths and carry their kind in the metadata, and previews say what they are of."""
+        if columns is None:
+            types = self.column_types(spark, ref)
+            columns = list(types)
+            lobs = {c: LOB_KINDS[t] for c, t in types.items() if t in LOB_KINDS} if lobs is None else lobs
+        df = spark.read.format("jdbc").options(**self.options(ref, profile, columns, lobs)).load()
+        real = {c.upper(): c for c in df.columns}
+        for c, kind in (lobs or {}).items():
+            df = df.withMetadata(real[c.upper()], {"lob": kind})
+            if (preview := real.get(f"{c}_PREVIEW".upper())) and kind != "BLOB" and profile.clob_preview_chars:
+                df = df.withMetadata(preview, {"preview_of": real[c.upper()]})
+        return df
+
+    @contextmanager
+    def _metadata(self, spark: SparkSession):
+        """(connection, its metadata), by the named driver; the class loader of Spark's jars finds it."""
+        jvm = spark.sparkContext._jvm
+        props = jvm.java.util.Properties()
+        for k, v in (("user", self.user), ("password", self.password)):
+            if v:
+                props.setProperty(k, v)
+        if self.driver:
+            loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+            connection = loader.loadClass(self.driver).getDeclaredConstructors()[0].newInstance(spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 0)).connect(self.url, props)
+        else:
+            connection = jvm.java.sql.DriverManager.getConnection(self.url, props)
+        try:
+            yield connection, connection.getMetaData()
+        finally:
+            connection.close()
+
+    def column_types(self, spark: SparkSession, ref: TableRef) -> dict[str, int]:
+        """Names of columns in order, with the codes of their types: metadata of an empty result, no rows are read."""
+        with self._metadata(spark) as (connection, _):
+            found = connection.createStatement().executeQuery(f"{scan_sql(ref.schema, ref.table)} WHERE 1 = 0").getMetaData()
+            return {found.getColumnName(i): found.getColumnType(i) for i in range(1, found.getColumnCount() + 1)}
 
     def primary_keys(self, spark: SparkSession, ref: TableRef) -> tuple[str, ...]:
-        """Best effort, by the driver's metadata; none if that fails."""
-        jvm = spark.sparkContext._jvm
+        """By the driver's metadata. Keys are optional: a driver's failure is logged, and there are none."""
         try:
-            props = jvm.java.util.Properties()
-            for k, v in (("user", self.user), ("password", self.password)):
-                if v:
-                    props.setProperty(k, v)
-            connection = jvm.java.sql.DriverManager.getConnection(self.url, props)
-            try:
-                found, out = connection.getMetaData().getPrimaryKeys(None, ref.schema or None, ref.table), []
+            with self._metadata(spark) as (_, meta):
+                found, out = meta.getPrimaryKeys(None, ref.schema or None, ref.table), []
                 while found.next():
                     out.append(found.getString("COLUMN_NAME").upper())
                 return tuple(out)
-            finally:
-                connection.close()
-        except Exception:  # noqa: BLE001  whatever a driver throws, keys are optional
+        except Py4JError as e:
+            _LOG.warning("no primary keys of %s: %s", ref.display, e)
             return ()
 
 

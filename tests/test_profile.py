@@ -147,3 +147,17 @@ def test_row_feed(spark):
 
 def test_find_column(customer):
     assert api.find_column(customer, "STATUS").first()["ordinal"] == 2 and api.find_column(customer, "nope").count() == 0
+
+
+def test_decimals_of_any_width(spark):
+    big = 123456789012345678901234567890
+    df = spark.createDataFrame([(Decimal(5), Decimal("0.000000000000000001"), Decimal("1.50")), (Decimal(big), Decimal("-12345678901234567890.5"), Decimal("-2")), (Decimal(-big), None, None)], "a decimal(38,0), b decimal(38,18), c decimal(10,2)")
+    r = {x["name"]: (x["min_value"], x["max_value"]) for x in profile_table(df).collect()}
+    assert r == {"a": (str(-big), str(big)), "b": ("-12345678901234567890.5", "0.000000000000000001"), "c": ("-2", "1.5")}
+
+
+def test_times_of_day(spark):
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    df = spark.sql("SELECT CAST(v AS TIME(6)) AS t FROM VALUES ('12:00:00.5'), ('09:30:00'), ('12:00:00'), (NULL) AS x(v)")
+    r = profile_table(df).first()
+    assert (r["family"], r["database_type_name"], r["min_value"], r["max_value"], r["distinct_count"]) == ("DATE_TIME", "TIME", "09:30:00", "12:00:00.5", 3)

@@ -5,6 +5,7 @@ from xml.etree import ElementTree
 import pytest
 
 from gneiss import cli
+from gneiss.operators.profile import profile_table
 from gneiss.options import ProfileOptions
 from gneiss.plans.run import generate_reports, run
 from gneiss.sinks import store
@@ -114,3 +115,44 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "list.txt").write_text("S.ORDERS\n")
     assert cli.main(["files", str(tmp_path), "", "", "db", "-", "--table-file", str(tmp_path / "list.txt"), str(tmp_path / "out2"), "500"]) == 0
     assert "quality-profile.html" in capsys.readouterr().out
+
+
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def test_jdbc_reads_lobs_by_length(spark, tmp_path, capsys):
+    """Against the database that Spark's own jars hold."""
+    url = "jdbc:derby:memory:lobs;create=true"
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    run_sql = connection.createStatement().execute
+    run_sql("CREATE TABLE NOTES (ID INT NOT NULL PRIMARY KEY, NAME VARCHAR(20), NOTE CLOB, BODY BLOB)")
+    for i in range(6):
+        run_sql(f"INSERT INTO NOTES VALUES ({i}, 'n{i % 2}', {'NULL' if i == 5 else repr('ab12' * (i + 1))}, CAST(X'{'00' * (i + 1)}' AS BLOB))")
+    source, ref = JdbcSource(url, DERBY), TableRef("APP", "NOTES")
+    assert source.column_types(spark, ref) == {"ID": 4, "NAME": 12, "NOTE": 2005, "BODY": 2004} and source.primary_keys(spark, ref) == ("ID",)
+    options = ProfileOptions(pattern_profile_enabled=True, clob_preview_chars=3)
+    df = source.read(spark, ref, options)
+    assert df.columns == ["ID", "NAME", "NOTE", "NOTE_PREVIEW", "BODY"]
+    r = {x["name"]: x for x in profile_table(df, options, source.primary_keys(spark, ref)).collect()}
+    assert list(r) == ["ID", "NAME", "NOTE", "BODY"] and r["ID"]["declared_primary_key"] and r["ID"]["max_value"] == "5"
+    assert (r["NOTE"]["family"], r["NOTE"]["min_length"], r["NOTE"]["max_length"], r["NOTE"]["null_count"], r["NOTE"]["lob_content_skipped"]) == ("LOB", 4, 20, 1, True)
+    assert [(p["pattern"], p["count"]) for p in r["NOTE"]["patterns"]] == [("L2D1", 5)]
+    assert (r["BODY"]["database_type_name"], r["BODY"]["max_length"], r["BODY"]["distinct_count"]) == ("BLOB", 6, 0)
+    assert JdbcSource(url, "no.such.Driver").primary_keys(spark, ref) == ()
+    assert cli.main([DERBY, url, "", "", "db", "APP", "NOTES", str(tmp_path)]) == 0
+    (d,) = tmp_path.iterdir()
+    note = store.RunStore(str(d)).read_table("APP", "NOTES")["columns"][2]
+    assert note["family"] == "LOB" and note["lobContentSkipped"] and note["maxLength"] == 20
+    connection.close()
+
+
+def test_tables_with_like_names_have_pages(spark, tmp_path):
+    def reader(s, ref):
+        return s.createDataFrame([(1,)] * len(ref.table.split("$")), "v int")
+
+    d = run(spark, "db", [TableRef("S", "A$B"), TableRef("S", "A#B")], str(tmp_path), reader=reader)
+    s = store.RunStore(d)
+    assert [s.read_table("S", t)["rowCount"] for t in ("A$B", "A#B")] == [2, 1]
+    pages = list((tmp_path / d / "quality-profile-tables").glob("*.html"))
+    index = open(f"{d}/quality-profile.html", encoding="utf-8").read()
+    assert len(pages) == 2 and all(p.name in index for p in pages)
