@@ -418,8 +418,8 @@ _query(table_overview, _TABLE_SQL)
 
 
 def _percent_sql(x: str) -> str:
-    """Two digits, halves away from zero."""
-    return f"CAST(round(CAST(({x}) * 100 AS DECIMAL(38,15)), 2) AS DECIMAL(38,2))::VARCHAR || '%'"
+    """Two digits of the shortest text of the double, halves away from zero."""
+    return f"CAST(round(CAST(CAST(({x}) * 100 AS VARCHAR) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2))::VARCHAR || '%'"
 
 
 # value_text has v=n parts; a share is of the profiled cells
@@ -451,7 +451,7 @@ _query(
     enum_insights,
     f"""WITH p AS ({_profile_sql("dirty_orders")})
 SELECT name, CASE WHEN value_text = '' THEN '' ELSE {_VALUES_SQL} END AS values_text,
-  CASE WHEN min_length IS NULL THEN '' ELSE min_length || ' / ' || max_length || ' / ' || CAST(round(CAST(avg_length AS DECIMAL(38,15)), 2) AS DECIMAL(38,2)) END AS lengths_text,
+  CASE WHEN min_length IS NULL THEN '' ELSE min_length || ' / ' || max_length || ' / ' || CAST(round(CAST(CAST(avg_length AS VARCHAR) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2)) END AS lengths_text,
   array_to_string(list_filter([CASE WHEN potential_enum THEN '潜在枚举' END, CASE WHEN candidate_primary_key THEN '候选唯一键' END, CASE WHEN constant THEN '常量字段' END, CASE WHEN quasi_constant AND NOT constant THEN '准常量' END], lambda x: x IS NOT NULL), '；') AS insights_text FROM p""",
 )
 
