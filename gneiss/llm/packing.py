@@ -206,5 +206,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     if ordered:
         rows = rows.withColumn("group", _range_of(rows, group))
     else:
-        rows = rows.withColumn("group", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(max(1, -(-rows.count() // group)))))
+        # the number keeps wholly equal rows, however many, from sharing a group; rows are read from the checkpoint, so it stays the same
+        rows = rows.withColumn("group", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(max(1, -(-rows.count() // group)))))
     return rows.groupBy("group").applyInArrow(put, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

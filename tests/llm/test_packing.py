@@ -110,3 +110,11 @@ def test_sequences_are_numbered_by_place(spark):
         first[r["sequence_id"]] = min(first[r["sequence_id"]], 1000 - r["doc_id"])
     at = [first[b] for b in sorted(first)]
     assert at == sorted(at) and len(at) > 10
+
+
+def test_wholly_equal_rows_do_not_share_a_group(spark):
+    docs = spark.createDataFrame([(None, "")] * 2000, "doc_id bigint, text string").repartition(7)
+    groups = defaultdict(int)
+    for r in packing.pack(docs, PATH, group=100).collect():
+        groups[r["sequence_id"] >> 24] += 1
+    assert sum(groups.values()) == 2000 and max(groups.values()) < 200
